@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import jaccard
+from . import ann, jaccard, langid, linededup, mixing, topk, urlfilter
 
 QUERIES = {
+    "op2_source_mixing": mixing.query,
     "op5_ngram_jaccard_join": jaccard.query,
+    "op6_line_dedup": linededup.query,
+    "op7_exact_top_k": topk.query,
+    "op8_url_filter": urlfilter.query,
+    "op9_language_id": langid.query,
+    "op10_nearest_neighbours": ann.query,
 }
 
 ORACLES = {
+    "op2_source_mixing": mixing.ORACLE,
     "op5_ngram_jaccard_join": jaccard.ORACLE,
+    "op6_line_dedup": linededup.ORACLE,
+    "op7_exact_top_k": topk.ORACLE,
+    "op8_url_filter": urlfilter.ORACLE,
 }
