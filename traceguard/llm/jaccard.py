@@ -297,7 +297,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, log2_bits: int = 24)
     found = components(links.union(_verify(rest, sets, percent)))
 
     rows = sketched.select("row", "doc_id", "n_shingles", "node")
-    full = rows.where("node is not null").join(found.withColumn("root", F.col("root")), "node", "left")
+    full = rows.where("node is not null").join(found, "node", "left")
     full = full.select("row", "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
     return full.union(rows.where("node is null").select("row", "doc_id", "n_shingles", "node", F.lit(None).cast("long").alias("root")))
 
@@ -310,6 +310,13 @@ def component_ids(classed: DataFrame) -> DataFrame:
     return linked.union(classed.where("root is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def duplicates(classed: DataFrame) -> DataFrame:
+    """(row): every row but the first, by (doc_id, row), of each component."""
+    full = classed.where("root is not null").select("root", "row", "doc_id")
+    first = full.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("root", F.col("first.row").alias("kept"))
+    return full.join(first, "root").where("row <> kept").select("row")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs``, read from files, with a ``row`` number that is the same in each reading."""
     return docs.withColumn("row", F.monotonically_increasing_id())

@@ -191,7 +191,8 @@ def fit(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred, score and rejected."""
+    """``keep`` columns of ``docs`` (but none named like a result) with lang_pred, score and rejected."""
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score", "rejected"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

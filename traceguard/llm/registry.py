@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, langid, linededup, mixing, topk, urlfilter
+from . import ann, jaccard, langid, linededup, lm, mixing, quality, sentencepiece_codec, topk, urlfilter
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.query,
     "op2_source_mixing": mixing.query,
+    "op3_quality_votes": quality.query,
+    "op4_log_bilinear_scores": lm.query,
     "op5_ngram_jaccard_join": jaccard.query,
     "op6_line_dedup": linededup.query,
     "op7_exact_top_k": topk.query,

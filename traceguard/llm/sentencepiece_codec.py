@@ -6,8 +6,8 @@ space, the metaspace marker U+2581 and the marker put before a text), the model
 that a BPE model's scores imply), byte fallback, and the decoder. Batches are encoded by the library's threads.
 
 The rebuilt tokenizer is held against the sentencepiece library: ``encode`` compares the ids of every text, and
-where they differ - the two break ties between equally good BPE merges differently - the ids of the sentencepiece
-library are returned, with parity false.
+where they differ - the two may break ties between equally good BPE merges differently - the ids of the
+sentencepiece library are returned, with parity false.
 
 Cases: a null text gives null ids, n_tokens 0 and no decoded text; an empty one gives no ids. Texts are encoded
 whole. Names of control pieces that stand in a text are ordinary text. Repeated rows are encoded one by one;
@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1 << 20
+#: Words whose ids by the sentencepiece library a worker remembers.
+MOST_WORDS = 300_000
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -116,11 +119,11 @@ class PieceModel:
         return [x[3:] for x in sorted(found)]
 
     def mark_starts_words(self) -> bool:
-        """No piece has the marker after another character: then texts can be cut before markers."""
+        """No piece has the marker after another character: then no merge joins two words."""
         return not any(kind in (NORMAL, USER_DEFINED) and MARK in piece.lstrip(MARK) for piece, _, kind in self.pieces)
 
     def tokenizer(self):
-        from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
         if self.kind == BPE:
             vocab = {piece: i for i, (piece, _, _) in enumerate(self.pieces)}
@@ -139,9 +142,8 @@ class PieceModel:
             steps.append(normalizers.Replace(" ", MARK))
         if steps:
             out.normalizer = normalizers.Sequence(steps)
-        if self.mark_starts_words():
-            out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-        out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
+        # The model sees whole texts; the marker is replaced after decoding, which is faster than a decoder's step.
+        out.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
         own = [AddedToken(p, normalized=False, special=False) for p, _, kind in self.pieces if kind == USER_DEFINED]
         if own:
             out.add_tokens(own)
@@ -160,15 +162,33 @@ class Codec:
         self.fast = self.model.tokenizer()
         self.exact = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
+        plain = not self.model.charsmap and not self.model.strip_spaces
+        self.by_words = plain and self.model.escape_spaces and self.model.dummy_prefix and self.model.kind == BPE and self.model.mark_starts_words()
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [x.ids for x in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
 
     def reference(self, texts: Sequence[str]) -> list[list[int]]:
-        return self.exact.encode(list(texts), num_threads=self.threads)
+        """Ids by the sentencepiece library.
+
+        Where no piece reaches from one word into the next, the ids of a text are those of its words one after
+        another, so each different word is encoded once and remembered; other texts are encoded whole.
+        """
+        split = [x.split(" ") if self.by_words and x and MARK not in x and "  " not in x and x[0] != " " and x[-1] != " " else None for x in texts]
+        new = list(set(chain.from_iterable(x for x in split if x)).difference(self.known))
+        if new:
+            if len(self.known) + len(new) > MOST_WORDS:
+                self.known.clear()
+                new = list(set(chain.from_iterable(x for x in split if x)))
+            self.known.update(zip(new, self.exact.encode(new, num_threads=self.threads), strict=True))
+        whole = iter(self.exact.encode([x for x, words in zip(texts, split, strict=True) if words is None], num_threads=self.threads))
+        return [next(whole) if words is None else list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
 
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
-        return self.fast.decode_batch(ids, skip_special_tokens=False)
+        texts = self.fast.decode_batch(ids, skip_special_tokens=False)
+        texts = [x.replace(MARK, " ") for x in texts] if self.model.escape_spaces else texts
+        return [x.removeprefix(" ") for x in texts] if self.model.dummy_prefix else texts
 
     def normalized(self, text: str) -> str:
         """What a text decodes to: the text after normalisation."""
@@ -221,8 +241,10 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...]
                 decoded = codec.decode(exact)
                 back = [codec.normalized(x) == y for x, y in zip(full, decoded, strict=True)]
                 null = [x is None for x in texts]
+                sizes = np.cumsum([0, *map(len, exact)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(exact), np.int32, int(sizes[-1]))
                 columns = [
-                    pa.array([None if z else x for x, z in zip(exact, null, strict=True)], pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat), mask=pa.array(null)),
                     pa.array([0 if z else len(x) for x, z in zip(exact, null, strict=True)], pa.int64()),
                     pa.array([None if z else x for x, z in zip(parity, null, strict=True)], pa.bool_()),
                     pa.array([None if z else x for x, z in zip(back, null, strict=True)], pa.bool_()),
