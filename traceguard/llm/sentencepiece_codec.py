@@ -17,14 +17,15 @@ further columns named in ``keep`` are passed through.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import table
 
@@ -32,10 +33,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 1 << 20
-#: Words whose ids by the sentencepiece library a worker remembers.
-MOST_WORDS = 300_000
+#: Texts are encoded in groups of about so many bytes.
+GROUP_BYTES = 1 << 18
+#: Words whose ids by the sentencepiece library a task remembers, about 200 bytes each.
+MOST_WORDS = 200_000
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -164,26 +165,36 @@ class Codec:
         self.threads = threads
         plain = not self.model.charsmap and not self.model.strip_spaces
         self.by_words = plain and self.model.escape_spaces and self.model.dummy_prefix and self.model.kind == BPE and self.model.mark_starts_words()
-        self.known: dict[str, list[int]] = {}
+        self.starts = np.array([piece.startswith(MARK) for piece, _, _ in self.model.pieces])
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [x.ids for x in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def reference(self, texts: Sequence[str]) -> list[list[int]]:
-        """Ids by the sentencepiece library.
+    def reference(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids by the sentencepiece library, as bytes of 32-bit numbers.
 
         Where no piece reaches from one word into the next, the ids of a text are those of its words one after
-        another, so each different word is encoded once and remembered; other texts are encoded whole.
+        another. So each different word is encoded once, all new ones as one text that is cut before the pieces
+        that begin with the marker, and remembered; other texts are encoded whole.
         """
         split = [x.split(" ") if self.by_words and x and MARK not in x and "  " not in x and x[0] != " " and x[-1] != " " else None for x in texts]
-        new = list(set(chain.from_iterable(x for x in split if x)).difference(self.known))
+        words = set(chain.from_iterable(x for x in split if x))
+        full = len(self.known) > MOST_WORDS
+        new = list(words.difference(self.known))
         if new:
-            if len(self.known) + len(new) > MOST_WORDS:
-                self.known.clear()
-                new = list(set(chain.from_iterable(x for x in split if x)))
-            self.known.update(zip(new, self.exact.encode(new, num_threads=self.threads), strict=True))
-        whole = iter(self.exact.encode([x for x, words in zip(texts, split, strict=True) if words is None], num_threads=self.threads))
-        return [next(whole) if words is None else list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+            ids = np.array(self.exact.encode(" ".join(new)), np.int32)
+            cuts = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
+            if len(cuts) != len(new) + 1:
+                raise RuntimeError("a word has no piece of its own that begins with the marker")
+            raw = ids.tobytes()
+            self.known.update(zip(new, (raw[i:j] for i, j in pairwise(cuts.tolist())), strict=True))
+        whole = iter(self.exact.encode([x for x, w in zip(texts, split, strict=True) if w is None], num_threads=self.threads))
+        out = [array("i", next(whole)).tobytes() if w is None else b"".join(map(self.known.__getitem__, w)) for w in split]
+        if full:  # words that come late are rare
+            for word in new:
+                del self.known[word]
+        return out
 
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         texts = self.fast.decode_batch(ids, skip_special_tokens=False)
@@ -209,15 +220,15 @@ def _codec(data: bytes, threads: int) -> Codec:
     return _codecs[key]
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > GROUP_CHARS:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def _groups(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about GROUP_BYTES, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
+        yield start, stop
+        start = stop
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...] = ("doc_id",), threads: int = 2) -> DataFrame:
@@ -233,24 +244,24 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...]
         codec = _codec(sent.value, threads)
         for batch in batches:
             column = batch.column("text")
-            for a, b in _groups(["" if x is None else x for x in column.to_pylist()]):
+            for a, b in _groups(column):
                 texts = column.slice(a, b - a).to_pylist()
                 full = [x or "" for x in texts]
                 ids, exact = codec.encode(full), codec.reference(full)
-                parity = [x == y for x, y in zip(ids, exact, strict=True)]
-                decoded = codec.decode(exact)
-                back = [codec.normalized(x) == y for x, y in zip(full, decoded, strict=True)]
+                parity = [array("i", x).tobytes() == y for x, y in zip(ids, exact, strict=True)]
+                ids = [x if same else np.frombuffer(y, np.int32).tolist() for x, y, same in zip(ids, exact, parity, strict=True)]
+                back = [codec.normalized(x) == y for x, y in zip(full, codec.decode(ids), strict=True)]
                 null = [x is None for x in texts]
-                sizes = np.cumsum([0, *map(len, exact)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(exact), np.int32, int(sizes[-1]))
+                sizes = np.cumsum([0, *(len(x) // 4 for x in exact)], dtype=np.int32)
                 columns = [
-                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat), mask=pa.array(null)),
-                    pa.array([0 if z else len(x) for x, z in zip(exact, null, strict=True)], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(exact), np.int32)), mask=pa.array(null)),
+                    pa.array(np.diff(sizes).astype(np.int64)),
                     pa.array([None if z else x for x, z in zip(parity, null, strict=True)], pa.bool_()),
                     pa.array([None if z else x for x, z in zip(back, null, strict=True)], pa.bool_()),
                 ]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, "token_ids", "n_tokens", "parity", "round_trip"])
+        codec.known.clear()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = "".join(f"`{c}` {types[c]}, " for c in keep)
