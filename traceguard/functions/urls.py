@@ -39,7 +39,7 @@ def public_literal(host: Column) -> Column:
         inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
     six = host.contains(":") & ~v4.rlike(IPV4)
     six_public = host.rlike("^[23][0-9a-f]{3}:") & ~host.rlike("^2001:(?:0?db8|0{0,3}[0-9a-f]?):")
-    odd = host.rlike("^[0-9.]+$") & ~v4.rlike(IPV4)  # numbers in other forms are not trusted
+    odd = host.rlike("^(?:0x[0-9a-f]*|[0-9]+)(?:\\.(?:0x[0-9a-f]*|[0-9]+))*\\.?$") & ~v4.rlike(IPV4)  # numbers in other forms are not trusted
     name = ~host.rlike("(?:^|\\.)localhost\\.?$") & (host != "")
     return F.when(v4.rlike(IPV4), ~inside).when(six, six_public).when(odd, F.lit(False)).otherwise(name)
 
