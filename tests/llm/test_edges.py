@@ -297,6 +297,23 @@ def test_codec_edges(spark):
     assert codec.encode(docs.where("false")).count() == 0
 
 
+def test_words_that_the_libraries_encode_differently_are_told(monkeypatch):
+    from traceguard.llm import sentencepiece_codec as codec
+
+    with open(codec.MODEL_PATH, "rb") as f:
+        c = codec.Codec(f.read(), 1)
+    texts = ["one two three", "two  two", "four", " lead", "three four five", ""]
+    want = [c.exact.encode(t) for t in texts]
+    ids, parity = c.checked(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x in ids] == want and all(parity)
+    monkeypatch.setattr(codec, "MOST_WORDS", 0)
+    assert c.checked(texts)[0] == ids and len(c.known) == 5
+    encode = c.encode
+    c.encode = lambda texts: [[7 if "four" in t else i for i in x] for t, x in zip(texts, encode(texts), strict=True)]
+    c.known.clear()
+    assert c.checked(texts) == (ids, [True, True, False, True, False, True])
+
+
 def test_unigram_model_from_wire_format():
     """A unigram model written by hand: scores decide, bytes stand for unknown characters."""
     import struct
@@ -328,7 +345,7 @@ def test_unigram_model_from_wire_format():
     exact = sentencepiece.SentencePieceProcessor(model_proto=data)
     texts = ["ab ab", "abba", "a b  a", "é ab", "", "bbbaaab abab"]
     codec = Codec(data, 1)
-    assert codec.encode(texts) == [exact.encode(t) for t in texts] == [np.frombuffer(x, np.int32).tolist() for x in codec.reference(texts)]
+    assert codec.encode(texts) == [exact.encode(t) for t in texts] == [np.frombuffer(x, np.int32).tolist() for x in codec.checked(texts)[0]]
     assert codec.decode(codec.encode(texts)) == texts
 
 

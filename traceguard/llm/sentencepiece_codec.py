@@ -5,9 +5,9 @@ settings. From it a fast tokenizer is rebuilt: the normaliser (its compiled char
 space, the metaspace marker U+2581 and the marker put before a text), the model (unigram scores, or the merges
 that a BPE model's scores imply), byte fallback, and the decoder. Batches are encoded by the library's threads.
 
-The rebuilt tokenizer is held against the sentencepiece library: ``encode`` compares the ids of every text, and
-where they differ - the two may break ties between equally good BPE merges differently - the ids of the
-sentencepiece library are returned, with parity false.
+The rebuilt tokenizer is held against the sentencepiece library: ``encode`` compares their ids over every text -
+over all its words, if no piece of the model joins two words - and where they differ - the two may break ties
+between equally good BPE merges differently - the ids of the sentencepiece library are returned, with parity false.
 
 Cases: a null text gives null ids, n_tokens 0 and no decoded text; an empty one gives no ids. Texts are encoded
 whole. Names of control pieces that stand in a text are ordinary text. Repeated rows are encoded one by one;
@@ -37,6 +37,8 @@ UNIGRAM, BPE = 1, 2
 GROUP_BYTES = 1 << 18
 #: Words whose ids by the sentencepiece library a task remembers, about 200 bytes each.
 MOST_WORDS = 200_000
+#: New words are encoded in texts of so many.
+WORDS_A_TEXT = 1000
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -167,34 +169,47 @@ class Codec:
         self.by_words = plain and self.model.escape_spaces and self.model.dummy_prefix and self.model.kind == BPE and self.model.mark_starts_words()
         self.starts = np.array([piece.startswith(MARK) for piece, _, _ in self.model.pieces])
         self.known: dict[str, bytes] = {}
+        self.unequal: set[str] = set()
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [x.ids for x in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def reference(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids by the sentencepiece library, as bytes of 32-bit numbers.
+    def whole(self, texts: Sequence[str]) -> tuple[list[bytes], list[bool]]:
+        """(ids as bytes of 32-bit numbers, parity) of texts that are encoded as they are, by both libraries."""
+        ids, exact = self.encode(texts), self.exact.encode(list(texts), num_threads=self.threads)
+        return [array("i", x).tobytes() for x in exact], [x == y for x, y in zip(ids, exact, strict=True)]
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of words: joined to texts, encoded by both libraries, and cut before the pieces that begin with the marker."""
+        texts = [" ".join(words[i : i + WORDS_A_TEXT]) for i in range(0, len(words), WORDS_A_TEXT)]
+        ids = np.array(list(chain.from_iterable(self.exact.encode(texts, num_threads=self.threads))), np.int32)
+        cuts = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
+        if len(cuts) != len(words) + 1:
+            raise RuntimeError("a word has no piece of its own that begins with the marker")
+        raw = ids.tobytes()
+        pieces = [raw[i:j] for i, j in pairwise(cuts.tolist())]
+        self.known.update(zip(words, pieces, strict=True))
+        if array("i", chain.from_iterable(self.encode(texts))).tobytes() != raw:
+            self.unequal.update(w for w, x, y in zip(words, pieces, self.encode(words), strict=True) if x != array("i", y).tobytes())
+
+    def checked(self, texts: Sequence[str]) -> tuple[list[bytes], list[bool]]:
+        """(ids as bytes of 32-bit numbers, parity): the ids of the sentencepiece library, and whether both give them.
 
         Where no piece reaches from one word into the next, the ids of a text are those of its words one after
-        another. So each different word is encoded once, all new ones as one text that is cut before the pieces
-        that begin with the marker, and remembered; other texts are encoded whole.
+        another, so each different word is encoded once and remembered; other texts are encoded as they are.
         """
         split = [x.split(" ") if self.by_words and x and MARK not in x and "  " not in x and x[0] != " " and x[-1] != " " else None for x in texts]
-        words = set(chain.from_iterable(x for x in split if x))
         full = len(self.known) > MOST_WORDS
-        new = list(words.difference(self.known))
+        new = list(set(chain.from_iterable(x for x in split if x)).difference(self.known))
         if new:
-            ids = np.array(self.exact.encode(" ".join(new)), np.int32)
-            cuts = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
-            if len(cuts) != len(new) + 1:
-                raise RuntimeError("a word has no piece of its own that begins with the marker")
-            raw = ids.tobytes()
-            self.known.update(zip(new, (raw[i:j] for i, j in pairwise(cuts.tolist())), strict=True))
-        whole = iter(self.exact.encode([x for x, w in zip(texts, split, strict=True) if w is None], num_threads=self.threads))
-        out = [array("i", next(whole)).tobytes() if w is None else b"".join(map(self.known.__getitem__, w)) for w in split]
+            self.learn(new)
+        others = iter(zip(*self.whole([x for x, w in zip(texts, split, strict=True) if w is None]), strict=True))
+        out = [next(others) if w is None else (b"".join(map(self.known.__getitem__, w)), not self.unequal or self.unequal.isdisjoint(w)) for w in split]
         if full:  # words that come late are rare
             for word in new:
                 del self.known[word]
-        return out
+                self.unequal.discard(word)
+        return [x for x, _ in out], [x for _, x in out]
 
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         texts = self.fast.decode_batch(ids, skip_special_tokens=False)
@@ -247,14 +262,13 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...]
             for a, b in _groups(column):
                 texts = column.slice(a, b - a).to_pylist()
                 full = [x or "" for x in texts]
-                ids, exact = codec.encode(full), codec.reference(full)
-                parity = [array("i", x).tobytes() == y for x, y in zip(ids, exact, strict=True)]
-                ids = [x if same else np.frombuffer(y, np.int32).tolist() for x, y, same in zip(ids, exact, parity, strict=True)]
-                back = [codec.normalized(x) == y for x, y in zip(full, codec.decode(ids), strict=True)]
+                ids, parity = codec.checked(full)
+                decoded = codec.decode([np.frombuffer(x, np.int32).tolist() for x in ids])
+                back = [codec.normalized(x) == y for x, y in zip(full, decoded, strict=True)]
                 null = [x is None for x in texts]
-                sizes = np.cumsum([0, *(len(x) // 4 for x in exact)], dtype=np.int32)
+                sizes = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 columns = [
-                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(exact), np.int32)), mask=pa.array(null)),
+                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=pa.array(null)),
                     pa.array(np.diff(sizes).astype(np.int64)),
                     pa.array([None if z else x for x, z in zip(parity, null, strict=True)], pa.bool_()),
                     pa.array([None if z else x for x, z in zip(back, null, strict=True)], pa.bool_()),
@@ -262,6 +276,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, "token_ids", "n_tokens", "parity", "round_trip"])
         codec.known.clear()
+        codec.unequal.clear()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = "".join(f"`{c}` {types[c]}, " for c in keep)
