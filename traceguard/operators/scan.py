@@ -147,26 +147,36 @@ def reason(prefix: str, types: Column) -> Column:
 
 
 def scan(df: DataFrame, config: ScanConfig = DEFAULT) -> DataFrame:
-    """``df`` with the 30 result columns of a full scan."""
-    own = [c for c in df.columns if c not in SCAN_INPUT]
+    """``df`` with the 30 result columns of a full scan.
+
+    Inputs that ``df`` lacks cost nothing: their results are constants in the plan.
+    """
+    own, given = [c for c in df.columns if c not in SCAN_INPUT], set(df.columns)
+    none = F.expr(NONE)
+    lists = [c for c in ("tool_outputs", "context_docs", "tool_inputs") if c in given]
     x = with_inputs(df)
-    x = x.withColumns({"prompt": F.coalesce(cap(F.col("prompt")), F.lit("")), "response": F.coalesce(cap(F.col("response")), F.lit("")), **{c: F.transform(c, lambda t: cap(t)) for c in ("tool_outputs", "context_docs", "tool_inputs")}})
-    x = normalized_arrays(x, ("tool_outputs", "context_docs", "tool_inputs"))
-    x = x.withColumns({"spans_p": pii.pii_spans(F.col("prompt"), F.col("pii_ignore")), "spans_r": pii.pii_spans(F.col("response"), F.col("pii_ignore"))})
-    x = x.withColumns({"pii_p": pii.pii_result(F.col("prompt"), F.col("spans_p")), "pii_r": pii.pii_result(F.col("response"), F.col("spans_r"))})
-    x = semantic(attack_tiers(x, F.col("prompt")), config)
-    rag, rag_max = poisoned_docs(F.col("doc_scores"))
-    exfil_types, exfil = exfiltration(F.col("tool_inputs"), F.col("tool_inputs_plain"), F.col("pii_ignore"))
+    x = x.withColumns({"prompt": F.coalesce(cap(F.col("prompt")), F.lit("")), "response": F.coalesce(cap(F.col("response")), F.lit("")), **{c: F.transform(c, lambda t: cap(t)) for c in lists}})
+    x = normalized_arrays(x, tuple(lists)) if lists else x
+    texts = (("prompt", "p"), ("response", "r"))
+    x = x.withColumns({f"spans_{k}": pii.pii_spans(F.col(c), F.col("pii_ignore")) if c in given else F.expr(f"cast(array() as {pii.SPAN})") for c, k in texts})
+    clean = F.struct(none.alias("entities"), F.lit(0.0).alias("score"), F.lit(0).alias("level"), F.lit("").alias("redacted"))
+    safe = F.struct(F.lit(False).alias("detected"), none.alias("types"), F.lit(0).alias("level"))
+    x = x.withColumns({f"pii_{k}": pii.pii_result(F.col(c), F.col(f"spans_{k}")) if c in given else clean for c, k in texts})
+    x = semantic(attack_tiers(x, F.col("prompt")) if "prompt" in given else x.withColumns({f.name: patterns.grade(none, none) for f in patterns.FAMILIES}), config)
+    rag, rag_max = poisoned_docs(F.col("doc_scores")) if "doc_scores" in given else (none, F.lit(0.0))
+    exfil_types, exfil = exfiltration(F.col("tool_inputs"), F.col("tool_inputs_plain"), F.col("pii_ignore")) if "tool_inputs" in given else (none, none)
+    indirect = [indirect_sources(F.col("tool_outputs_plain"), "tool_output", F.col("tool_scores"))] if "tool_outputs" in given else []
+    indirect += [indirect_sources(F.col("context_docs_plain"), "context_doc")] if "context_docs" in given else []
     x = x.withColumns({
-        "indirect": F.concat(indirect_sources(F.col("tool_outputs_plain"), "tool_output", F.col("tool_scores")), indirect_sources(F.col("context_docs_plain"), "context_doc")),
+        "indirect": F.concat(*indirect) if indirect else none,
         "rag": rag,
         "rag_max": rag_max,
         "exfil_types": exfil_types,
         "exfil": exfil,
-        "policy": policy_violations(F.col("tool_names"), F.col("allowed_tools")),
-        "image": image_sources(F.col("image_texts")),
-        "sec_p": secrets.secrets(F.col("prompt")),
-        "sec_r": secrets.secrets(F.col("response")),
+        "policy": policy_violations(F.col("tool_names"), F.col("allowed_tools")) if {"tool_names", "allowed_tools"} <= given else none,
+        "image": image_sources(F.col("image_texts")) if "image_texts" in given else none,
+        "sec_p": secrets.secrets(F.col("prompt")) if "prompt" in given else safe,
+        "sec_r": secrets.secrets(F.col("response")) if "response" in given else safe,
     })
     x = x.withColumns({
         "cross": F.coalesce("cross_agent", F.lit(False)) & (F.col("injection.detected") | F.col("jailbreak.detected") | F.col("sem.detected")),

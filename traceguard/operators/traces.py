@@ -77,23 +77,19 @@ def chain_scores(current: DataFrame, traces: DataFrame, scans: DataFrame, depth:
     """(KEY, trace_id, chain): scores of the scanned ancestors of each row of ``current``, oldest first.
 
     The walk starts at parent_id and goes on through llm events only; it ends after ``depth`` nodes, or at one
-    that it has seen. Each step is one equi-join; rows whose walk has ended drop out of the later ones.
+    that it has seen. Each step is one equi-join; a walk that has ended has a null node, which matches nothing and is
+    dealt out by its tree.
     """
     edges = traces.where(F.col("type") == "llm").groupBy(*KEY, F.col("trace_id").alias("node")).agg(F.min("parent_id").alias("next"))
     score = latest_scores(scans).select(*KEY, F.col("trace_id").alias("node"), F.col("security_risk_score").alias("score"))
     nodes = edges.join(score, [*KEY, "node"], "full").select(*KEY, "node", "next", "score")
     none = F.expr("cast(array() as array<double>)")
     walk = current.select(*KEY, "trace_id", F.col("parent_id").alias("node"), none.alias("chain"), F.array("parent_id").alias("seen"))
-    done = []
     for _ in range(depth):
-        done.append(walk.where(F.col("node").isNull()).select(*KEY, "trace_id", "chain"))
-        walk = walk.where(F.col("node").isNotNull()).join(nodes, [*KEY, "node"], "left")
+        walk = walk.join(nodes, [*KEY, "node"], "left")
         onward = F.when(~F.array_contains("seen", F.col("next")), F.col("next"))
         walk = walk.select(*KEY, "trace_id", onward.alias("node"), F.when(F.col("score").isNull(), F.col("chain")).otherwise(F.concat(F.array("score"), "chain")).alias("chain"), F.when(onward.isNotNull(), F.concat("seen", F.array("next"))).otherwise(F.col("seen")).alias("seen"))
-    out = walk.select(*KEY, "trace_id", "chain")
-    for part in done:
-        out = out.union(part)
-    return out
+    return walk.select(*KEY, "trace_id", "chain")
 
 
 def latest_scores(scans: DataFrame) -> DataFrame:
