@@ -1,8 +1,7 @@
 """A corpus from raw documents to tokens, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next one's documents. All but the last return the columns of documents. Rows are named by position where a stage
-needs to tell repeated doc_ids apart, so the documents of a stage must be read from files.
+next one's documents. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -38,8 +37,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near duplicates."""
     docs = jaccard.numbered(docs.select(*COLUMNS))
-    removed = jaccard.duplicates(jaccard.classes(docs, SHINGLE_WORDS, SIMILAR_PERCENT))
-    return docs.join(removed, "row", "left_anti").select(*COLUMNS)
+    classed = jaccard.classes(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    return jaccard.without_duplicates(docs, classed).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
