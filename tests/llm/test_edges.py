@@ -118,6 +118,16 @@ def test_jaccard_edges(spark):
     assert jaccard.component_ids(jaccard.classes(jaccard.numbered(docs.where("false")), 3, 90)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    from traceguard.llm import jaccard
+
+    docs = documents(spark, odd_rows()).drop("row")
+    docs = jaccard.numbered(docs.union(docs.where("doc_id in (1, 4, 8)")))
+    classed = jaccard.classes(docs, 5, 80)
+    assert sorted(str(r.doc_id) for r in jaccard.without_duplicates(docs, classed).collect()) == sorted(["None", "1", "1", "2", "3", "4", "6", "8", "9", "10", "11"])
+    assert classed.count() == 16
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 60)])
 def test_jaccard_finds_every_component(spark, k, percent, monkeypatch):
     from traceguard.llm import jaccard
@@ -134,9 +144,7 @@ def test_jaccard_finds_every_component(spark, k, percent, monkeypatch):
                 words[at] = f"n{rng.integers(1 << 30)}"
             texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    path = f"{jaccard.materialize.__globals__['shared_dir'](spark)}/docs-{k}-{percent}"
-    docs.write.mode("overwrite").parquet(path)
-    got = {r.doc_id: r for r in jaccard.component_ids(jaccard.classes(jaccard.numbered(spark.read.parquet(path)), k, percent)).collect()}
+    got = {r.doc_id: r for r in jaccard.component_ids(jaccard.classes(jaccard.numbered(docs), k, percent)).collect()}
     roots, sizes = brute_components(texts, k, percent)
     assert [got[i].component_id for i in range(len(texts))] == roots
     assert [got[i].n_shingles for i in range(len(texts))] == sizes

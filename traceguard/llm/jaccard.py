@@ -151,15 +151,17 @@ def _members(k: int, wanted, log2_bits: int):
     """Sets of the documents whose bit is set in ``wanted``, a broadcast bitmap over hashes of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(wanted.value, np.uint64)
+        bitmap, seen = np.frombuffer(wanted.value, np.uint64), set()
         for batch in batches:
             spot = (mix(batch.column("row").to_numpy().view(np.uint64)) & np.uint64((1 << log2_bits) - 1)).astype(np.int64)
             batch = batch.filter(pa.array((bitmap[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1))
             node, sketch, sets, row = [], [], [], []
             for i, s in _sets(batch, k):
-                if len(s):
+                if len(s) and (name := set_id(s)) not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(name)
                     row.append(i)
-                    node.append(set_id(s))
+                    node.append(name)
                     sketch.append(bit_sketch(s))
                     sets.append(s)
             for a in range(0, len(node), 2000):
@@ -261,7 +263,7 @@ def _close_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, log2_bits: int = 24) -> DataFrame:
     """Rows of (row, doc_id, n_shingles, node, root): the class of each row of ``docs`` (row, doc_id, text).
 
-    ``row`` names a row, so that repeated doc_ids stay apart. ``node`` names the set (equal sets share it) and
+    ``row`` is a hash of doc_id and text, so that rows that share a doc_id stay apart. ``node`` names the set (equal sets share it) and
     ``root`` the component; both are null for a null or empty text and for one without words, which is linked
     with nothing. ``percent``: two documents link when 100 * intersection >= percent * union.
     """
@@ -280,7 +282,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, log2_bits: int = 24)
     rows = materialize(rows, "rows")
     wanted = spark.sparkContext.broadcast(_bitmap(rows, log2_bits))
     sets = docs.mapInArrow(_members(k, wanted, log2_bits), "node long, row long, sketch array<long>, shingles array<long>")
-    sets = materialize(sets.join(rows, ["node", "row"], "left_semi"), "sets")
+    sets = materialize(sets.select("node", "sketch", "shingles").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     links = materialize(_verify(stars, sets, percent), "links")
     found = components(links)
@@ -310,16 +312,24 @@ def component_ids(classed: DataFrame) -> DataFrame:
     return linked.union(classed.where("root is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def duplicates(classed: DataFrame) -> DataFrame:
-    """(row): every row but the first, by (doc_id, row), of each component."""
+def without_duplicates(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """``docs`` (row, doc_id, ...) with one row, the first by (doc_id, row), of each component of ``classed``.
+
+    Rows without words are all kept. Rows that share doc_id and text are one of the component's rows only once.
+    """
     full = classed.where("root is not null").select("root", "row", "doc_id")
     first = full.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("root", F.col("first.row").alias("kept"))
-    return full.join(first, "root").where("row <> kept").select("row")
+    removed = full.join(first, "root").where("row <> kept").select("row").distinct()
+    repeated = materialize(full.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").join(removed, "row", "left_anti").select("row"), "repeated")
+    left = docs.join(removed, "row", "left_anti")
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, "row", "left_anti").union(left.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs``, read from files, with a ``row`` number that is the same in each reading."""
-    return docs.withColumn("row", F.monotonically_increasing_id())
+    """``docs`` with ``row``, a name of doc_id and text that is the same in every reading, however files are split."""
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
