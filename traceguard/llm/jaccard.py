@@ -25,7 +25,7 @@ from .common import materialize, table
 from .components import components
 from .kernels import Words, groups, mix, shingles, strings
 
-SKETCH_WORDS = 16
+SKETCH_WORDS = 64
 #: A linked pair is lost if all blocks that its differences leave untouched are weak. Weak blocks (few shingles)
 #: are only left out of the join where that probability is below this, like a collision of hashes.
 LOSS = 1e-10
@@ -198,8 +198,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(distance <= allowed).where(common * 100 >= (total - common) * percent).select("a", "b")
 
 
-def _compare(percent: int):
-    """Pairs of rows of one (key, lo, hi) whose parts differ and whose sketches don't refute a link."""
+def _compare(percent: int, forest: bool):
+    """Pairs of rows of one (key, lo, hi) whose parts differ and whose sketches don't refute a link.
+
+    ``forest``: only as many pairs as would join the parts, if all of them turn out to be links.
+    """
 
     def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, part, chunk, size = (group.column(x).to_numpy() for x in ("node", "part", "chunk", "size"))
@@ -207,13 +210,18 @@ def _compare(percent: int):
         one = np.flatnonzero(chunk == group.column("lo")[0].as_py())
         two = one if group.column("lo")[0] == group.column("hi")[0] else np.flatnonzero(chunk == group.column("hi")[0].as_py())
         a, b = [], []
-        for i in range(0, len(one), 64):
-            x = one[i : i + 64]
+        part = np.unique(part, return_inverse=True)[1]
+        for i in range(0, len(one), 1 if forest else 64):
+            x = one[i : i + (1 if forest else 64)]
             distance = np.zeros((len(x), len(two)), np.int32)
             for w in range(sketch.shape[1]):
                 distance += np.bitwise_count(sketch[x, w][:, None] ^ sketch[two, w][None, :])
             close = distance <= (size[x][:, None] + size[two][None, :]) * (100 - percent) // (100 + percent)
             p, q = np.nonzero(close & (part[x][:, None] != part[two][None, :]))
+            if forest and len(q):
+                joined, at = np.unique(part[two[q]], return_index=True)
+                p, q = p[at], q[at]
+                part[np.isin(part, joined)] = part[x[0]]
             a.append(node[x[p]])
             b.append(node[two[q]])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
@@ -246,7 +254,7 @@ def _compare(percent: int):
     return run
 
 
-def _close_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _close_pairs(members: DataFrame, sets: DataFrame, percent: int, forest: bool = False) -> DataFrame:
     """Pairs of large buckets, compared by their sketches alone.
 
     A bucket is dealt into chunks of about CHUNK members and every two chunks meet in one group, so no task holds
@@ -257,7 +265,15 @@ def _close_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     x = x.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     x = x.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "part", "size", "sketch")
     x = x.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return x.mapInArrow(_compare(percent), "a long, b long")
+    return x.mapInArrow(_compare(percent, forest), "a long, b long")
+
+
+def _open_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, part, members) of the buckets whose members lie in different components."""
+    bucket = Window.partitionBy("key")
+    known = shared.select("key", "node").join(found.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    spread = known.withColumns({"low": F.min("part").over(bucket), "high": F.max("part").over(bucket), "members": F.count("*").over(bucket)}).where("low < high")
+    return materialize(spread.select("key", "node", "part", "members"), "open")
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, log2_bits: int = 24) -> DataFrame:
@@ -287,15 +303,20 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, log2_bits: int = 24)
     links = materialize(_verify(stars, sets, percent), "links")
     found = components(links)
 
-    # What is left: pairs in one bucket whose components differ.
-    known = shared.select("key", "node").join(found.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    open_ = known.withColumns({"low": F.min("part").over(bucket), "high": F.max("part").over(bucket), "members": F.count("*").over(bucket)}).where("low < high")
-    open_ = materialize(open_.select("key", "node", "part", "members"), "open")
+    # What is left: pairs in one bucket whose components differ. Large buckets of near copies would bring up the
+    # same pairs again and again, so each node first goes to one of its large buckets, the one with the smallest
+    # key, and only pairs that would join components are tried there. Then all buckets are gone through.
+    open_ = _open_buckets(shared, found)
+    once = open_.where(F.col("members") > FEW).groupBy("node").agg(F.min(F.struct("key", "part", "members")).alias("b")).select("node", "b.*")
+    near = materialize(_close_pairs(once, sets, percent, forest=True).distinct().join(stars, ["a", "b"], "left_anti"), "near")
+    tried = stars.union(near)
+    links = materialize(links.union(_verify(near, sets, percent)), "links")
+    open_ = _open_buckets(shared, components(links))
     few = open_.where(F.col("members") <= FEW)
     left, right = (few.select("key", F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
     rest = left.join(right, "key").where("a < b and part_a <> part_b").select("a", "b")
     rest = rest.union(_close_pairs(open_.where(F.col("members") > FEW), sets, percent)).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     found = components(links.union(_verify(rest, sets, percent)))
 
     rows = sketched.select("row", "doc_id", "n_shingles", "node")
