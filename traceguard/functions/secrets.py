@@ -43,10 +43,16 @@ def entropy_tokens(text: Column) -> Column:
     return F.when(text.rlike(TOKEN), random).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def parts(text: Column) -> Column:
+    """struct(types, random): names of patterns, and whether there is a random token."""
+    found = F.when(blank(text), F.expr("cast(array() as array<string>)")).otherwise(named_secrets(text))
+    return F.struct(found.alias("types"), F.coalesce(F.size(entropy_tokens(text)) > 0, F.lit(False)).alias("random"))
+
+
 def secrets(text: Column) -> Column:
     """struct(detected, types, level): a named pattern is HIGH, a random token alone MEDIUM without a type."""
-    found = F.when(blank(text), F.expr("cast(array() as array<string>)")).otherwise(named_secrets(text))
-    random = F.coalesce(F.size(entropy_tokens(text)) > 0, F.lit(False))
+    both = parts(text)
+    found, random = both["types"], both["random"]
     named = F.size(found) > 0
     return F.struct((named | random).alias("detected"), found.alias("types"), F.when(named, 3).when(random, 2).otherwise(0).alias("level"))
 

@@ -17,6 +17,7 @@ from traceguard.functions import patterns, pii, risk, secrets, vectors
 from traceguard.functions.text import PLAIN, cap, fold, normalize_text
 
 NONE = "cast(array() as array<string>)"
+HITS = "array<struct<found:boolean,types:array<string>,label:string>>"
 SCAN_INPUT = {
     "prompt": "string",
     "response": "string",
@@ -87,16 +88,26 @@ def poisoned_docs(scores: Column) -> tuple[Column, Column]:
     return F.coalesce(F.array_compact(labels), F.expr(NONE)), F.coalesce(F.greatest(F.array_max(scores), F.lit(0.0)), F.lit(0.0))
 
 
-def exfiltration(inputs: Column, plain: Column, ignore: Column) -> tuple[Column, Column]:
-    """(types, sources) of personal data and secrets in what the agent sends to tools."""
-    def one(t, i):
-        types = pii.entities(pii.pii_spans(t, ignore))
-        raw, hidden = secrets.secrets(t), secrets.secrets(fold(F.get(plain, i)))
-        found = (F.size(types) > 0) | raw["detected"] | hidden["detected"]
-        return F.struct(found.alias("found"), F.array_union(F.array_union(types, raw["types"]), hidden["types"]).alias("types"), F.concat(F.lit("tool_input["), i.cast("string"), F.lit("]")).alias("label"))
+def exfiltration(inputs: Column, plain: Column, ignore: Column) -> Column:
+    """array<struct<found, types, label>>: personal data and secrets in what the agent sends to tools, where there are any."""
+    # Lambdas are interpreted, without common subexpressions: what is used twice is put into a struct first.
+    def read(t, i):
+        return F.struct(pii.entities(pii.pii_spans(t, ignore)).alias("types"), secrets.parts(t).alias("raw"), secrets.parts(fold(F.get(plain, i))).alias("hidden"))
 
-    hits = F.filter(F.transform(inputs, one), lambda h: h["found"])
-    return F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["types"])))), F.expr(NONE)), F.coalesce(F.transform(hits, lambda h: h["label"]), F.expr(NONE))
+    def one(x, i):
+        types = F.array_union(F.array_union(x["types"], x["raw"]["types"]), x["hidden"]["types"])
+        found = (F.size(types) > 0) | x["raw"]["random"] | x["hidden"]["random"]
+        return F.struct(found.alias("found"), types.alias("types"), F.concat(F.lit("tool_input["), i.cast("string"), F.lit("]")).alias("label"))
+
+    return F.coalesce(F.filter(F.transform(F.transform(inputs, read), one), lambda h: h["found"]), F.expr(f"cast(array() as {HITS})"))
+
+
+def exfiltrated_types(hits: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["types"]))))
+
+
+def labels(hits: Column) -> Column:
+    return F.transform(hits, lambda h: h["label"])
 
 
 def policy_violations(names: Column, allowed: Column) -> Column:
@@ -164,15 +175,15 @@ def scan(df: DataFrame, config: ScanConfig = DEFAULT) -> DataFrame:
     x = x.withColumns({f"pii_{k}": pii.pii_result(F.col(c), F.col(f"spans_{k}")) if c in given else clean for c, k in texts})
     x = semantic(attack_tiers(x, F.col("prompt")) if "prompt" in given else x.withColumns({f.name: patterns.grade(none, none) for f in patterns.FAMILIES}), config)
     rag, rag_max = poisoned_docs(F.col("doc_scores")) if "doc_scores" in given else (none, F.lit(0.0))
-    exfil_types, exfil = exfiltration(F.col("tool_inputs"), F.col("tool_inputs_plain"), F.col("pii_ignore")) if "tool_inputs" in given else (none, none)
+    x = x.withColumn("exfil_hits", exfiltration(F.col("tool_inputs"), F.col("tool_inputs_plain"), F.col("pii_ignore")) if "tool_inputs" in given else F.expr(f"cast(array() as {HITS})"))
     indirect = [indirect_sources(F.col("tool_outputs_plain"), "tool_output", F.col("tool_scores"))] if "tool_outputs" in given else []
     indirect += [indirect_sources(F.col("context_docs_plain"), "context_doc")] if "context_docs" in given else []
     x = x.withColumns({
         "indirect": F.concat(*indirect) if indirect else none,
         "rag": rag,
         "rag_max": rag_max,
-        "exfil_types": exfil_types,
-        "exfil": exfil,
+        "exfil_types": exfiltrated_types(F.col("exfil_hits")),
+        "exfil": labels(F.col("exfil_hits")),
         "policy": policy_violations(F.col("tool_names"), F.col("allowed_tools")) if {"tool_names", "allowed_tools"} <= given else none,
         "image": image_sources(F.col("image_texts")) if "image_texts" in given else none,
         "sec_p": secrets.secrets(F.col("prompt")) if "prompt" in given else safe,

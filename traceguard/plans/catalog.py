@@ -314,8 +314,9 @@ h AS (SELECT conv_id, i, list_distinct(list_concat(e, s)) AS types FROM o WHERE
 SELECT conv_id, string_agg('tool_input[' || i || ']', '|' ORDER BY i) AS sources, {O.join('list_sort(list_distinct(flatten(list(types))))')} AS types FROM h GROUP BY conv_id""")
 def tool_exfil(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = S.normalized_arrays(_grouped(spark, sf_dir), ("texts",))
-    types, sources = S.exfiltration(F.col("texts"), F.col("texts_plain"), F.array(F.lit("EMAIL_ADDRESS")))
-    return x.withColumns({"types": types, "sources": sources}).where("size(sources) > 0").select("conv_id", joined("sources"), joined("types"))
+    x = x.withColumn("hits", S.exfiltration(F.col("texts"), F.col("texts_plain"), F.array(F.lit("EMAIL_ADDRESS"))))
+    x = x.withColumns({"types": S.exfiltrated_types(F.col("hits")), "sources": S.labels(F.col("hits"))}).where("size(sources) > 0")
+    return x.select("conv_id", joined("sources"), joined("types"))
 
 
 @query("""WITH n AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE ' ' || event_type END AS name FROM events WHERE event_id % 5 < 3),
