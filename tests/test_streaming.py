@@ -84,3 +84,23 @@ def test_models_can_be_plugged_in(spark):
     df = spark.createDataFrame([("abc",), ("",), (None,)], "t string")
     assert [r.s for r in df.select(providers.scores(F.col("t"), factory).alias("s")).collect()] == [3.0, 0.0, 0.0]
     assert [r.s for r in df.select(providers.scores(F.col("t"), broken).alias("s")).collect()] == [0.0, 0.0, 0.0]
+
+
+def test_encoders_score_prompts_and_tree_texts(spark):
+    from traceguard.functions import phrases
+    from traceguard.plans.post_call import encoder_models, post_call
+
+    def encoder():
+        def encode(texts):
+            return [[float("instructions" in t), float("restrictions" in t or "rules" in t)] for t in texts]
+
+        return encode
+
+    traces, scans = stored(spark)
+    value = json.dumps({"operation": "sdk_security", "organization_id": "o", "trace_id": "t", "event": {"input": "those instructions", "root_trace_id": "r"}})
+    routed = kafka.route(kafka.decode(spark.createDataFrame([(value,)], "value string")))
+    traces = traces.union(spark.createDataFrame([("o", "r", "v", "vectorstore", None, json.dumps({"result": {"matches": {"items": [{"text": "no restrictions, no rules"}, {"text": "x"}]}}}))], traces.schema))
+    r = post_call(jobs.scan_jobs(routed), traces, scans, encoder_models(encoder)).first()
+    assert r.semantic_attack_score > 0.41 and r.should_block
+    assert r.rag_poisoning_sources == ["context_doc[0]"] and r.rag_poisoning_score > 0.55
+    assert len(phrases.BLENDED_SEEDS) == 21 and len(set(phrases.BLENDED_SEEDS)) == 21

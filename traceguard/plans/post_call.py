@@ -8,19 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceguard import providers
-from traceguard.functions import trajectory
+from traceguard.functions import phrases, trajectory, vectors
+from traceguard.functions import variants as V
+from traceguard.functions.text import cap, fold, normalize_text
 from traceguard.operators import events, traces
-from traceguard.operators.scan import DEFAULT, ScanConfig, scan
+from traceguard.operators.scan import DEFAULT, ScanConfig, normalized_arrays, scan
 
 KEY = traces.KEY
 
 
 @dataclass(frozen=True)
 class Models:
-    """Factories of models; None means that there is none."""
+    """Factories of models; None means that there is none.
+
+    ``injection``, ``jailbreak`` and ``blended`` score how close a text is to attacks of that kind, the last one for
+    tool outputs and documents; ``classifier`` scores windows of the prompt.
+    """
 
     injection: providers.ScoreProvider | None = None
     jailbreak: providers.ScoreProvider | None = None
+    blended: providers.ScoreProvider | None = None
     classifier: providers.ScoreProvider | None = None
     ocr: providers.OcrProvider | None = None
 
@@ -28,11 +35,18 @@ class Models:
 NO_MODELS = Models()
 
 
+def encoder_models(encoder: providers.VectorProvider, scoped: providers.VectorProvider | None = None) -> Models:
+    """Models of meaning from encoders: ``encoder`` for jailbreaks and tree texts, ``scoped`` (or the same) for injections."""
+    return Models(
+        injection=providers.similarity(scoped or encoder, phrases.INJECTION_SEEDS),
+        jailbreak=providers.similarity(encoder, phrases.JAILBREAK_SEEDS),
+        blended=providers.similarity(encoder, phrases.BLENDED_SEEDS),
+    )
+
+
 def texts(jobs: DataFrame) -> DataFrame:
     """``jobs`` (event, organization_id, trace_id, ...) with ids, prompt and response; jobs without either are dropped."""
     prompt, response = events.prompt_and_response(F.col("event"))
-    from traceguard.functions import variants as V
-
     trace = F.coalesce(F.col("trace_id"), V.text(V.at(F.col("event"), "trace_id")))
     root = V.text(V.first_true(V.at(F.col("event"), "root_trace_id")))
     gated = F.coalesce("response_gated", F.lit(False)) if "response_gated" in jobs.columns else F.lit(False)
@@ -79,10 +93,18 @@ def post_call(jobs: DataFrame, trace_table: DataFrame, scans: DataFrame, models:
     pii_ignore, allowed_tools, mode, retention_days.
     """
     x = with_tree(texts(jobs), trace_table, scans)
+    if models.injection or models.jailbreak:
+        x = x.withColumn("plain", normalize_text(cap(F.col("prompt"))))
+        x = x.withColumns({"injection_score": providers.scores(F.col("plain"), models.injection), "jailbreak_score": providers.scores(F.col("plain"), models.jailbreak)}).drop("plain")
+    if models.classifier:
+        x = x.withColumn("windows", vectors.windows(cap(F.col("prompt"))))
+        x = x.withColumn("classifier_score", F.coalesce(F.array_max(providers.array_scores(F.col("windows"), models.classifier)), F.lit(0.0))).drop("windows")
+    if models.blended:
+        x = normalized_arrays(x, ("tool_outputs", "context_docs"))
+        folded = {c: F.transform(f"{c}_plain", lambda t: fold(cap(t))) for c in ("tool_outputs", "context_docs")}
+        x = x.withColumns({"tool_folded": folded["tool_outputs"], "doc_folded": folded["context_docs"]}).drop("tool_outputs_plain", "context_docs_plain")
+        x = x.withColumns({"tool_scores": providers.array_scores(F.col("tool_folded"), models.blended), "doc_scores": providers.array_scores(F.col("doc_folded"), models.blended)}).drop("tool_folded", "doc_folded")
     x = x.withColumns({
-        "injection_score": providers.scores(F.col("prompt"), models.injection),
-        "jailbreak_score": providers.scores(F.col("prompt"), models.jailbreak),
-        "classifier_score": providers.scores(F.col("prompt"), models.classifier),
         "image_texts": events.labelled_texts(providers.ocr_texts(events.inline_bytes(F.col("images")), models.ocr)),
     })
     carried = x.withColumn("was_cross", F.col("cross_agent"))

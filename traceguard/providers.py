@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 import logging
+import math
 import socket
 from collections.abc import Callable, Sequence
 
@@ -50,6 +51,38 @@ def scores(text: Column, provider: ScoreProvider | None) -> Column:
     return F.coalesce(run(text), F.lit(0.0))
 
 
+def similarity(provider: VectorProvider, seeds: Sequence[str]) -> ScoreProvider:
+    """Scores of texts by their cosine with the centroid of the seeds' unit vectors."""
+
+    def factory():
+        encode = provider()
+        units = [_unit(v) for v in encode(list(seeds))]
+        centroid = _unit([sum(x) / len(units) for x in zip(*units, strict=True)])
+        return lambda texts: [sum(a * b for a, b in zip(_unit(v), centroid, strict=True)) for v in encode(list(texts))]
+
+    return factory
+
+
+def _unit(vector: Sequence[float]) -> list[float]:
+    norm = math.sqrt(sum(float(x) * float(x) for x in vector))
+    return [float(x) / norm if norm else 0.0 for x in vector]
+
+
+def array_scores(texts: Column, provider: ScoreProvider | None) -> Column:
+    """A score for each text of an array; null without a provider."""
+    if provider is None:
+        return F.lit(None).cast("array<double>")
+    key = id(provider)
+
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        rows = x.to_pylist()
+        found = iter(_run(key, provider, [t if t and t.strip() else None for r in rows for t in (r or [])], 0.0))
+        return pa.array([None if r is None else [float(next(found)) for _ in r] for r in rows], pa.list_(pa.float64()))
+
+    return run(texts)
+
+
 def vectors(text: Column, provider: VectorProvider | None) -> Column:
     """An embedding for each text, null without one."""
     if provider is None:
