@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .components import components
-from .kernels import Words, groups, mix, shingles, strings
+from .kernels import Words, give_back, groups, mix, shingles, strings
 
 SKETCH_WORDS = 64
 #: A linked pair is lost if all blocks that its differences leave untouched are weak. Weak blocks (few shingles)
@@ -143,6 +143,7 @@ def _sketch(k: int, percent: int):
                 else:
                     keys.append(np.zeros(0, np.uint64))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(keys)], ["row", "doc_id", "n_shingles", "node", "keys"])
+        give_back()
 
     return run
 
@@ -167,6 +168,7 @@ def _members(k: int, wanted, log2_bits: int):
             for a in range(0, len(node), 2000):
                 b = a + 2000
                 yield pa.RecordBatch.from_arrays([pa.array(node[a:b], pa.int64()), batch.column("row").take(pa.array(row[a:b], pa.int64())), _lists(sketch[a:b]), _lists(sets[a:b])], ["node", "row", "sketch", "shingles"])
+        give_back()
 
     return run
 

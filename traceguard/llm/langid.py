@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .kernels import groups, strings
+from .kernels import give_back, groups, strings
 
 BUCKETS_LOG2 = 16
 ORDERS = (2, 3, 4)
@@ -119,7 +119,7 @@ def _bags(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nd
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         bucket, n = np.unique(np.concatenate([x[a:b] for x in every]), return_counts=True)
         keep = bucket < 1 << BUCKETS_LOG2
-        out.append((bucket[keep], (n[keep] / max(1, n[keep].sum())).astype(np.float32)))
+        out.append((bucket[keep].astype(np.uint16), (n[keep] / max(1, n[keep].sum())).astype(np.float32)))
     return out
 
 
@@ -151,7 +151,7 @@ def train(texts: pa.Array, langs: list[str], epochs: int = 4, rate: float = 0.3,
             idx, doc = [], []
             for j, d in enumerate(chosen):
                 bucket, weight = bags[d]
-                idx.append(rng.choice(bucket, most, p=weight / weight.sum()) if len(bucket) > most else bucket)
+                idx.append((rng.choice(bucket, most, p=weight / weight.sum()) if len(bucket) > most else bucket).astype(np.int64))
                 doc.append(np.full(len(idx[-1]), j))
             idx, doc = np.concatenate(idx), np.concatenate(doc)
             start = np.searchsorted(doc, np.arange(len(chosen)))
@@ -187,7 +187,10 @@ def train(texts: pa.Array, langs: list[str], epochs: int = 4, rate: float = 0.3,
 def fit(docs: DataFrame) -> Model:
     """Train on a bounded sample of ``docs`` (doc_id, text, lang)."""
     rows = sample(docs).toArrow().sort_by("doc_id")
-    return train(rows.column("text").combine_chunks(), rows.column("lang").to_pylist())
+    model = train(rows.column("text").combine_chunks(), rows.column("lang").to_pylist())
+    del rows
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -211,6 +214,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                     score[a:b] = np.where(letter, p.max(1), 0)
             rejected = (best == len(m.langs)) | (score < m.threshold)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
+        give_back()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = ", ".join(f"`{c}` {types[c]}" for c in keep)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .kernels import Words, groups, mix, strings
+from .kernels import Words, give_back, groups, mix, strings
 
 #: Labelled documents that are broadcast: at most so many, none longer than SAMPLE_BYTES.
 SAMPLE, SAMPLE_BYTES = 4096, 65536
@@ -187,6 +187,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
                     j = min(i + BLOCK, b)
                     parts.append(m.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.concatenate(parts))], [*keep, "score"])
+        give_back()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = ", ".join(f"`{c}` {types[c]}" for c in keep)

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import table
+from .kernels import give_back
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -277,6 +278,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, "token_ids", "n_tokens", "parity", "round_trip"])
         codec.known.clear()
         codec.unequal.clear()
+        give_back()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = "".join(f"`{c}` {types[c]}, " for c in keep)
