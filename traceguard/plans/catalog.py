@@ -579,12 +579,10 @@ def post_call_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pre-call gate as a stream over files; tests hold it against the batch form."""
-    import tempfile
     import uuid
 
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="traceguard-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{D.shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*conversations*").parquet(sf_dir)
     asked = rows.select("conv_id", "turn", D.plant(F.col("text"), F.col("conv_id") * 8 + F.col("turn")).alias("prompt"))
     checked = S.check(asked).select("conv_id", "turn", "allow", "risk_level")

@@ -5,6 +5,8 @@ Attack phrases hardly occur in the tables, so some are put in by arithmetic on i
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,18 @@ PLANTS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt out anew: the tables are single files, and scans are heavy on the processor."""
+    """A table, dealt out anew if it has fewer partitions than there are cores: scans are heavy on the processor."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism and name in ("documents", "conversations", "pages") else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one in a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return base or tempfile.mkdtemp(prefix="traceguard-")
 
 
 def plant(text: Column, number: Column) -> Column:
