@@ -286,6 +286,27 @@ def test_language_model_is_normalised_and_base_is_exact(spark, monkeypatch):
         assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_trains_on_every_document(spark):
+    from traceguard.llm import lm
+    from traceguard.llm.kernels import word_hash
+
+    # Long texts alone: alpha, beta, gamma in turn; their counts are alike, only contexts tell the next word.
+    texts = ["alpha beta gamma " * 3000 for _ in range(8)] + [f"rare{i} alpha" for i in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    counts = lm.materialize(lm.count_tokens(docs), "c")
+    m = lm.fit(docs, counts)
+    assert m.trained == m.total == 8 * 9001 + 4000 * 3
+    place = {w: int(m.outcome[lm.Index(m.frequent).find(np.array([word_hash(w.encode())], np.uint64))[0]]) for w in ("alpha", "beta", "gamma")}
+    p = np.exp(m.near[place["beta"]].astype(float) + m.far[place["alpha"]] + m.bias - m.log_z[place["beta"], place["alpha"]])
+    assert p[place["gamma"]] > 0.9
+
+
+def test_shortlist_grows_with_the_vocabulary():
+    from traceguard.llm import lm
+
+    assert [lm.shortlist(n) for n in (0, 10_000, 2_250_000, 10**9)] == [lm.SHORTLIST, lm.SHORTLIST, 1500, lm.MOST_SHORT]
+
+
 def test_codec_edges(spark):
     import sentencepiece
 
