@@ -37,3 +37,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tool_policy_reads_every_event(spark, tmp_path):
+    rows = [(5, 1, "click"), (3, 1, "drop"), (4, 1, "erase"), (9, 2, "erase"), (8, 2, "view"), (14, 3, "drop"), (13, 4, "view")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.violations for r in catalog.QUERIES["tool_policy"](spark, str(tmp_path)).collect()}
+    assert got == {1: " drop|ERASE", 2: " erase"}
