@@ -60,6 +60,14 @@ def test_line_dedup_edges(spark):
     assert linededup.dedup_lines(twice.where("false")).count() == 0
 
 
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    from traceguard.llm import linededup
+
+    docs = documents(spark, [(None, "a\nb\nc\nfirst", "en", "s"), (None, "a\nb\nc\nsecond", "en", "s"), (7, "p\nq\nr\n1", "en", "s"), (7, "p\nq\nr\n2", "en", "s")])
+    got = sorted((r.doc_id or 0, r.n_removed) for r in linededup.dedup_lines(docs).collect())
+    assert got == [(0, 0), (0, 3), (7, 0), (7, 3)]
+
+
 def test_mixing_edges(spark):
     from traceguard.llm import mixing
 

@@ -39,7 +39,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     place = F.struct("doc_id", "line", "text_hash")
     first = found.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
     first = materialize(first.select("one", "two", "first"), "windows")
-    later = found.join(first, ["one", "two"]).where(~((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line"))))
+    later = found.join(first, ["one", "two"]).where(~((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line")) & (F.col("text_hash") == F.col("first.text_hash"))))
     covered = later.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("starts"))
     covered = covered.select(F.col("doc_id").alias("covered_id"), F.col("text_hash").alias("covered_hash"), F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1))))).alias("covered"))
 
