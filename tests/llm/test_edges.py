@@ -397,3 +397,32 @@ def test_filter_lengths_hold_loss_bound():
             assert bands.level(m) in (level, level - 1)
             assert bands.blocks(bands.level(m)) > bands.differences(n + m)
         assert least_shingles(2, percent) == 0
+
+
+def test_long_texts_hold_loss_bound():
+    from traceguard.llm.jaccard import LOSS, least_shingles
+
+    for percent in (50, 60, 70, 80, 90):
+        for blocks in (201, 400):
+            hit = np.eye(1, blocks + 1)[0]  # distribution of touched blocks
+            for _ in range(blocks - 1):
+                free = np.arange(blocks, -1, -1) / blocks
+                hit = hit * (1 - free) + np.append(0, (hit * free)[:-1])
+            mean = percent / (100 - percent) / 2
+            weak = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least_shingles(blocks, percent)))
+            assert (hit[::-1] * weak ** np.arange(blocks + 1))[1:].sum() <= LOSS
+
+
+def test_jaccard_finds_long_pairs_at_60_percent(spark):
+    from traceguard.llm import jaccard
+
+    rng, texts = np.random.default_rng(2), []
+    for pair in range(30):
+        base = [f"p{pair}w{i}" for i in range(500)]
+        other = list(base)
+        for at in rng.choice(500, 124, replace=False):
+            other[at] = f"n{pair}x{at}"
+        texts += [" ".join(base), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.component_ids(jaccard.classes(jaccard.numbered(docs), 1, 60)).collect()}
+    assert [got[i] for i in range(60)] == [i - i % 2 for i in range(60)]

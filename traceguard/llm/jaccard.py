@@ -62,8 +62,8 @@ def least_shingles(blocks: int, percent: int) -> int:
     """How many shingles a block needs to take part in the join (0: even empty blocks do)."""
     if blocks < 8:
         return 0
-    if blocks > 200:
-        return 3
+    if blocks > 200:  # the chance of a loss only falls with more blocks
+        return least_shingles(200, percent)
     hit = np.zeros(blocks + 1)  # distribution of touched blocks after blocks - 1 differences
     hit[0] = 1
     for _ in range(blocks - 1):
