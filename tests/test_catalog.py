@@ -44,3 +44,10 @@ def test_tool_policy_reads_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.user_id: r.violations for r in catalog.QUERIES["tool_policy"](spark, str(tmp_path)).collect()}
     assert got == {1: " drop|ERASE", 2: " erase"}
+
+
+def test_prompt_extract_keeps_the_tail_of_a_long_text(spark, tmp_path):
+    text = "x" * 1_000_030 + "end"
+    spark.createDataFrame([(3, 1, "user", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = catalog.QUERIES["prompt_extract"](spark, str(tmp_path)).collect()
+    assert row.prompt == f"{text[:20]} {text[20:]}"

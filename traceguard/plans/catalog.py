@@ -98,7 +98,7 @@ def op_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, event): all turns of a conversation as messages; content as text, as parts, or as another list."""
     c = D.table(spark, sf_dir, "conversations")
-    part = F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 20).alias("text")), F.struct(F.lit("input").alias("type"), F.substring("text", 21, 1_000_000).alias("text")))
+    part = F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 20).alias("text")), F.struct(F.lit("input").alias("type"), F.substring("text", F.lit(21), F.length("text")).alias("text")))
     multi = F.to_json(F.struct("role", part.alias("content")))
     plain = F.to_json(F.struct("role", F.col("text").alias("content")))
     one = F.when(F.col("turn") % 3 == 1, multi).otherwise(plain)
