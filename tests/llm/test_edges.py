@@ -190,21 +190,71 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def brute_nearest(rows, every, k):
+    fine = [(i, x) for i, x in rows if i is not None and x and all(v is not None and math.isfinite(v) for v in x) and any(x)]
+    asked = {}
+    for i, x in fine:
+        if i % every == 0:
+            asked[i] = min(asked.get(i, x), x)
+    return {q: sorted((math.dist(x, y), i) for i, y in fine if i != q and len(y) == len(x))[:k] for q, x in asked.items()}
+
+
+def found_nearest(df, every, k):
+    from traceguard.llm import ann
+
+    got = {}
+    for r in ann.nearest(df, df.where(f"vec_id % {every} = 0"), k).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    return got
+
+
 def test_nearest_edges(spark, monkeypatch):
-    from traceguard.llm import ann, tiles
+    from traceguard.llm import tiles
 
-    monkeypatch.setattr(tiles, "QUERY_BYTES", 200)
+    monkeypatch.setattr(tiles, "QUERY_BYTES", 900)
     rows, df = vectors(spark)
-    got = {}
-    for r in ann.nearest(df.where("vec_id <> 400"), df.where("vec_id % 50 = 0 and vec_id <> 400"), 10).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    fine = [(i, x) for i, x in rows if i not in (None, 400) and x and all(v is not None and math.isfinite(v) for v in x) and any(x)]
-    for q, x in fine:
-        if q % 50 == 0:
-            near = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(x, y, strict=True))), i) for i, y in fine if i != q and len(y) == len(x))
-            assert [i for i, _ in got[q]] == [i for _, i in near[:10]]
-            assert [d for _, d in got[q]] == pytest.approx([d for d, _ in near[:10]], rel=1e-12)
-    assert 301 not in got and 200 not in got
+    got, want = found_nearest(df, 50, 10), brute_nearest(rows, 50, 10)
+    assert set(got) == {q for q, near in want.items() if near} and 400 in got and 301 not in got and 200 not in got
+    for q, near in got.items():
+        assert [i for _, i in near] == [i for _, i in want[q]]
+        assert [d for d, _ in near] == pytest.approx([d for d, _ in want[q]], rel=1e-12)
+    assert found_nearest(df.where("false"), 50, 10) == {}
+
+
+@pytest.mark.parametrize("dim", [64, 1040, 1536, 3072])
+def test_nearest_on_the_int8_grid(spark, dim):
+    """Vectors whose codes are exact and near-equal: sums of products pass 2 ** 24 beyond 1040 components."""
+    rng = np.random.default_rng(dim)
+    base = rng.integers(100, 128, dim)
+    x = np.clip(base + rng.integers(-1, 2, (400, dim)), -127, 127)
+    x[:, 0] = 127
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(float).tolist())], "vec_id long, embedding array<float>").repartition(3)
+    exact = ((x[::20, None, :] - x[None, :, :]) ** 2).sum(2)
+    got = found_nearest(df, 20, 10)
+    for at, q in enumerate(range(0, 400, 20)):
+        want = sorted((math.sqrt(d), i) for i, d in enumerate(exact[at].tolist()) if i != q)[:10]
+        assert got[q] == want
+
+
+@pytest.mark.parametrize("power", [-320, -200, 200, 307])
+def test_nearest_of_huge_and_tiny_vectors(spark, power):
+    rng = np.random.default_rng(power + 400)
+    rows = [(i, [float(v) * (10.0**power if i % 3 else 1.0) for v in rng.integers(-9, 10, 6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found_nearest(df, 10, 5), brute_nearest(rows, 10, 5)
+    assert set(got) == set(want)
+    for q, near in got.items():
+        assert [d for d, _ in near] == pytest.approx([d for d, _ in want[q]], rel=1e-12, abs=0)
+
+
+def test_repeated_vectors_fill_lists_one_by_one(spark):
+    from traceguard.llm import topk
+
+    rows = [(1, [1.0, 0.5])] * 40 + [(2, [0.25, 0.5]), (10, [1.0, 1.0]), (3, [2.0**40, 0.0]), (20, [2.0**40, 2.0**36])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [i for _, i in found_nearest(df, 10, 7)[10]] == [1] * 7
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(10, 20, 2**56 + 2**52), (10, 3, 2**56), (10, 1, 65536 + 32768), (20, 3, 2**63 - 1), (20, 10, 2**56 + 2**52), (20, 1, 2**56 + 2**51)]
 
 
 def test_url_edges(spark):

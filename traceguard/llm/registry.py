@@ -23,4 +23,5 @@ ORACLES = {
     "op6_line_dedup": linededup.ORACLE,
     "op7_exact_top_k": topk.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
+    "op10_nearest_neighbours": ann.ORACLE,
 }

@@ -1,24 +1,31 @@
-"""Tiles of queries and shards for exact vector search.
+"""Exact vector search as a join of query blocks and shards.
 
-Every vector is compared with every query in blocks: an Arrow batch of vectors is a shard, a slice of the queries
-a block. The queries are sent to all executors while they fit into ``QUERY_BYTES``; a larger query set is split
-by hash into parts that do, and the vectors are read once for each part. Lists of each query are cut to k in each
-tile, merged in each task, and merged again by a shuffle on the query, so the rows that move are k for each query
-and task.
+Queries are dealt into blocks and vectors into shards by hash, and every block meets every shard in one cell. A
+shuffle brings both to the cell's task, queries first: the task holds one block, and the shard streams through it
+in tiles. Lists of each query are cut to k in each tile, merged in each cell, and merged again by a shuffle on the
+query, so the rows that leave a cell are at most k for each of its queries. Nothing goes through the driver but the
+sizes of both sides, from which the numbers of blocks and shards follow.
+
+Within a task, rows are told apart by dimension and by the size of their largest component (bands of 256 binary
+exponents), so that numbers of one tile side can be scaled together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BYTES = 64 << 20
-BLOCK, SHARD = 1024, 4096
+#: Bytes of a query block, which a task holds, and of a shard, which streams through it.
+QUERY_BYTES, SHARD_BYTES = 32 << 20, 256 << 20
+#: A tile has at most so many queries, rows of a shard, and numbers in either side.
+BLOCK, SHARD, TILE_NUMBERS = 1024, 4096, 1 << 22
+#: Binary exponents of a band.
+BAND = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -28,52 +35,34 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite)
 
 
-def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors as doubles) of a batch, for each dimension and at most SHARD rows."""
+def matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(dimension, band, ids, vectors as doubles) of a batch; a row with ``copies`` comes up so often."""
     ids = batch.column("vec_id").to_numpy()
     column = batch.column("embedding")
     sizes = column.value_lengths().to_numpy()
     flat = column.flatten().to_numpy().astype(np.float64)
     start = np.cumsum(sizes) - sizes
-    for dim in np.unique(sizes):
-        rows = np.flatnonzero(sizes == dim)
-        for i in range(0, len(rows), SHARD):
-            part = rows[i : i + SHARD]
-            yield ids[part], flat[start[part][:, None] + np.arange(dim)]
-
-
-def query_parts(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The queries, one row for each vec_id, as {dimension: (ids, vectors)} of at most about QUERY_BYTES each."""
-    # Of rows that share a vec_id the smallest vector is asked for.
-    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    total = queries.agg(F.coalesce(F.sum(F.size("embedding") * 8 + 16), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // (QUERY_BYTES * 3 // 4)))
-    for i in range(parts):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i) if parts > 1 else queries
-        by: dict[int, tuple[list, list]] = {}
-        for batch in part.toArrow().to_batches():
-            for ids, x in matrices(batch):
-                kept = by.setdefault(x.shape[1], ([], []))
-                kept[0].append(ids)
-                kept[1].append(x)
-        out = {}
-        for dim, (ids, x) in by.items():
-            ids, x = np.concatenate(ids), np.concatenate(x)
-            order = np.argsort(ids)
-            out[dim] = ids[order], x[order]
-        yield out
-
-
-def merge(ids: np.ndarray, scores: np.ndarray, k: int, n: int, query: np.ndarray) -> np.ndarray:
-    """Positions of the first k rows of each query (0 <= query < n) by (score ascending, id ascending)."""
-    order = np.lexsort((ids, scores, query))
+    copies = batch.column("copies").to_numpy()
+    most = np.maximum.reduceat(np.abs(flat), start)
+    band = np.frexp(most)[1] // BAND
+    for dim, of in np.unique(np.stack([sizes, band], 1), axis=0):
+        rows = np.repeat(np.flatnonzero((sizes == dim) & (band == of)), copies[(sizes == dim) & (band == of)])
+        step = max(1, min(SHARD, TILE_NUMBERS // int(dim)))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            yield int(dim), int(of), ids[part], flat[start[part][:, None] + np.arange(dim)]
+
+
+def merge(ids: np.ndarray, keys: np.ndarray, k: int, n: int, query: np.ndarray) -> np.ndarray:
+    """Positions of the first k rows of each query (0 <= query < n) by (key ascending, id ascending)."""
+    order = np.lexsort((ids, keys, query))
     counts = np.bincount(query, minlength=n)
     rank = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
     return order[rank < k]
 
 
 class Lists:
-    """The best k candidates so far of each query of one dimension; a smaller key is better."""
+    """The best k candidates so far of each query of one matrix; a smaller key is better."""
 
     def __init__(self, n: int, k: int, dtype) -> None:
         self.n, self.k = n, k
@@ -93,32 +82,76 @@ class Lists:
         return out
 
 
+class _Block:
+    """The queries of a cell: for each dimension and band, one prepared matrix for each tile's worth, and its lists."""
+
+    def __init__(self, parts: list[pa.RecordBatch], k: int, dtype, prepare: Callable) -> None:
+        held: dict[tuple[int, int], list] = {}
+        for part in parts:
+            for dim, band, ids, x in matrices(part):
+                held.setdefault((dim, band), []).append((ids, x))
+        self.by: dict[int, list[tuple[dict, Lists]]] = {}
+        for (dim, band), found in held.items():
+            ids, x = (np.concatenate(v) for v in zip(*found, strict=True))
+            for a in range(0, len(ids), BLOCK):
+                q = prepare(ids[a : a + BLOCK], x[a : a + BLOCK], band)
+                self.by.setdefault(dim, []).append((q, Lists(len(q["ids"]), k, dtype)))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for q, kept in (x for found in self.by.values() for x in found):
+            yield pa.RecordBatch.from_arrays([pa.array(q["ids"][kept.query]), pa.array(kept.ids), pa.array(kept.keys)], ["query_id", "vec_id", "key"])
+
+
+def _cells(k: int, tile: Callable, prepare: Callable, dtype):
+    """Multiply the cells of a partition, which come one after another, each with its queries first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, shard = (batch.column(c).to_numpy() for c in ("cell", "side"))
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (shard[1:] != shard[:-1])) + 1), len(cell)]
+            for i, j in pairwise(cuts):
+                part = batch.slice(i, j - i)
+                if cell[i] != now:
+                    if block:
+                        yield from block.rows()
+                    now, asked, block = cell[i], [], None
+                if not shard[i]:
+                    asked.append(part)
+                    continue
+                if block is None:
+                    block, asked = _Block(asked, k, dtype, prepare), []
+                for dim, band, ids, x in matrices(part):
+                    if dim in block.by:
+                        candidates = prepare(ids, x, band)
+                        for q, lists in block.by[dim]:
+                            tile(q, candidates, lists)
+        if block:
+            yield from block.rows()
+
+    return run
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, tile: Callable, prepare: Callable, key_type: str) -> DataFrame:
     """(query_id, rank, vec_id, key): the k smallest keys of each query among vectors of its dimension.
 
-    ``prepare(ids, x)`` makes what a tile needs of a matrix, once for each shard and query set;
-    ``tile(queries, a, b, shard, lists)`` adds the candidates of queries a to b.
+    ``prepare(ids, x, band)`` makes what a tile needs of a matrix; ``tile(queries, shard, lists)`` adds the
+    candidates that a tile finds.
     """
-    spark = vectors.sparkSession
-    found = []
-    dtype = np.int64 if key_type == "long" else np.float64
-    for part in query_parts(queries):
-        sent = spark.sparkContext.broadcast({dim: prepare(*x) for dim, x in part.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            asked = sent.value
-            lists = {dim: Lists(len(q["ids"]), k, dtype) for dim, q in asked.items()}
-            for batch in batches:
-                for ids, x in matrices(batch):
-                    if (q := asked.get(x.shape[1])) is not None:
-                        shard = prepare(ids, x)
-                        for a in range(0, len(q["ids"]), BLOCK):
-                            tile(q, a, min(a + BLOCK, len(q["ids"])), shard, lists[x.shape[1]])
-            for dim, kept in lists.items():
-                yield pa.RecordBatch.from_arrays([pa.array(asked[dim]["ids"][kept.query]), pa.array(kept.ids), pa.array(kept.keys)], ["query_id", "vec_id", "key"])
-
-        found.append(vectors.mapInArrow(run, f"query_id long, vec_id long, key {key_type}"))
-    every = reduce(DataFrame.union, found)
+    # Of rows that share a vec_id the smallest vector is asked for. More than k equal rows would fill no list anew.
+    asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("copies", F.lit(1))
+    different = vectors.groupBy("vec_id", "embedding").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    size = lambda df, more: int(df.agg(F.coalesce(F.sum(F.size("embedding").cast("long") * 8 + more), F.lit(0))).first()[0])
+    blocks = max(1, -(-size(queries, 64 + 32 * k) // QUERY_BYTES))
+    shards = max(-(-size(vectors, 64) // SHARD_BYTES), -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
+    cell = (F.col("block") * shards + F.col("shard")).cast("int").alias("cell")
+    left = asked.select("vec_id", "embedding", "copies", place(blocks).alias("block"), every(shards).alias("shard")).select(cell, F.lit(0).alias("side"), "vec_id", "embedding", "copies")
+    right = different.select("vec_id", "embedding", "copies", place(shards).alias("shard"), every(blocks).alias("block")).select(cell, F.lit(1).alias("side"), "vec_id", "embedding", "copies")
+    both = left.union(right).repartitionById(blocks * shards, F.col("cell")).sortWithinPartitions("cell", "side")
+    found = both.mapInArrow(_cells(k, tile, prepare, np.int64 if key_type == "long" else np.float64), f"query_id long, vec_id long, key {key_type}")
     order = Window.partitionBy("query_id").orderBy("key", "vec_id")
-    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "key")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "key")
