@@ -384,30 +384,28 @@ def test_codec_edges(spark):
     assert codec.encode(docs.where("false")).count() == 0
 
 
-def test_words_that_the_libraries_encode_differently_are_told(monkeypatch):
+def test_codec_marks_a_fault_between_words():
+    """Ids are those of the rebuilt tokenizer; parity is of whole texts, so a fault that no single word shows is seen."""
     from traceguard.llm import sentencepiece_codec as codec
 
     with open(codec.MODEL_PATH, "rb") as f:
         c = codec.Codec(f.read(), 1)
-    texts = ["one two three", "two  two", "four", " lead", "three four five", ""]
+    texts = ["one two three", "two  two", "four", " lead", ""]
     want = [c.exact.encode(t) for t in texts]
-    ids, parity = c.checked(texts)
-    assert [np.frombuffer(x, np.int32).tolist() for x in ids] == want and all(parity)
-    monkeypatch.setattr(codec, "MOST_WORDS", 0)
-    assert c.checked(texts)[0] == ids and len(c.known) == 5
+    assert c.checked(texts) == (want, [True] * 5)
     encode = c.encode
-    c.encode = lambda texts: [[7 if "four" in t else i for i in x] for t, x in zip(texts, encode(texts), strict=True)]
-    c.known.clear()
-    assert c.checked(texts) == (ids, [True, True, False, True, False, True])
+    c.encode = lambda texts: [[*x, 7] if " " in t.strip() else x for t, x in zip(texts, encode(texts), strict=True)]
+    ids, parity = c.checked(texts)
+    assert ids == [[*want[0], 7], [*want[1], 7], *want[2:]] and parity == [False, False, True, True, True]
 
 
-def test_unigram_model_from_wire_format():
+def test_unigram_model_from_wire_format(spark, tmp_path):
     """A unigram model written by hand: scores decide, bytes stand for unknown characters."""
     import struct
 
     import sentencepiece
 
-    from traceguard.llm.sentencepiece_codec import Codec
+    from traceguard.llm.sentencepiece_codec import Codec, encode
 
     def varint(n):
         out = b""
@@ -432,8 +430,12 @@ def test_unigram_model_from_wire_format():
     exact = sentencepiece.SentencePieceProcessor(model_proto=data)
     texts = ["ab ab", "abba", "a b  a", "é ab", "", "bbbaaab abab"]
     codec = Codec(data, 1)
-    assert codec.encode(texts) == [exact.encode(t) for t in texts] == [np.frombuffer(x, np.int32).tolist() for x in codec.checked(texts)[0]]
+    assert codec.encode(texts) == [exact.encode(t) for t in texts] == codec.checked(texts)[0]
     assert codec.decode(codec.encode(texts)) == texts
+    (tmp_path / "hand.model").write_bytes(data)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, PARITY string")
+    got = sorted(encode(docs, str(tmp_path / "hand.model"), ("doc_id", "PARITY")).collect())
+    assert [(r.doc_id, list(r.token_ids), r.parity, r.round_trip) for r in got] == [(i, exact.encode(t), True, True) for i, t in enumerate(texts)]
 
 
 def test_filter_lengths_hold_loss_bound():

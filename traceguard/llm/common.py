@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,11 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(names: Iterable[str], *results: str) -> list[str]:
+    """Those of ``names`` that no result is named like; Spark tells names apart without case."""
+    taken = {x.lower() for x in results}
+    return [x for x in names if x.lower() not in taken]
+
+
+def carried(docs: DataFrame, keep: Iterable[str], *results: str) -> tuple[list[str], str]:
+    """The columns of ``keep`` that are passed through a Python function, and their types for its schema."""
+    kept = others(keep, *results)
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return kept, "".join("`" + c.replace("`", "``") + f"` {types[c]}, " for c in kept)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` names.
 
-    Where the setting is absent, a local session gets a temporary folder; a cluster raises, because its
-    executors could not see a folder of the driver's machine.
+    Where the setting is absent, a local session gets a temporary folder, as in tests; a cluster raises, because
+    its executors could not see a folder of the driver's machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:

@@ -5,29 +5,29 @@ settings. From it a fast tokenizer is rebuilt: the normaliser (its compiled char
 space, the metaspace marker U+2581 and the marker put before a text), the model (unigram scores, or the merges
 that a BPE model's scores imply), byte fallback, and the decoder. Batches are encoded by the library's threads.
 
-The rebuilt tokenizer is held against the sentencepiece library: ``encode`` compares their ids over every text -
-over all its words, if no piece of the model joins two words - and where they differ - the two may break ties
-between equally good BPE merges differently - the ids of the sentencepiece library are returned, with parity false.
+The rebuilt tokenizer gives all ids. It is held against the sentencepiece library: ``encode`` has both encode every
+whole text, and where their ids differ - the two may break ties between equally good BPE merges differently -
+parity is false.
 
 Cases: a null text gives null ids, n_tokens 0 and no decoded text; an empty one gives no ids. Texts are encoded
 whole. Names of control pieces that stand in a text are ordinary text. Repeated rows are encoded one by one;
-further columns named in ``keep`` are passed through.
+further columns named in ``keep`` are passed through, but for those named like a result.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import carried, table
+from .common import column as quoted
 from .kernels import give_back
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -36,10 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Texts are encoded in groups of about so many bytes.
 GROUP_BYTES = 1 << 18
-#: Words whose ids by the sentencepiece library a task remembers, about 200 bytes each.
-MOST_WORDS = 200_000
-#: New words are encoded in texts of so many.
-WORDS_A_TEXT = 1000
+RESULTS = ("token_ids", "n_tokens", "parity", "round_trip")
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -122,10 +119,6 @@ class PieceModel:
                         found.append((-score, ids[piece[:cut]], ids[piece[cut:]], piece[:cut], piece[cut:]))
         return [x[3:] for x in sorted(found)]
 
-    def mark_starts_words(self) -> bool:
-        """No piece has the marker after another character: then no merge joins two words."""
-        return not any(kind in (NORMAL, USER_DEFINED) and MARK in piece.lstrip(MARK) for piece, _, kind in self.pieces)
-
     def tokenizer(self):
         from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
@@ -166,51 +159,14 @@ class Codec:
         self.fast = self.model.tokenizer()
         self.exact = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
-        plain = not self.model.charsmap and not self.model.strip_spaces
-        self.by_words = plain and self.model.escape_spaces and self.model.dummy_prefix and self.model.kind == BPE and self.model.mark_starts_words()
-        self.starts = np.array([piece.startswith(MARK) for piece, _, _ in self.model.pieces])
-        self.known: dict[str, bytes] = {}
-        self.unequal: set[str] = set()
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [x.ids for x in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, texts: Sequence[str]) -> tuple[list[bytes], list[bool]]:
-        """(ids as bytes of 32-bit numbers, parity) of texts that are encoded as they are, by both libraries."""
-        ids, exact = self.encode(texts), self.exact.encode(list(texts), num_threads=self.threads)
-        return [array("i", x).tobytes() for x in exact], [x == y for x, y in zip(ids, exact, strict=True)]
-
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of words: joined to texts, encoded by both libraries, and cut before the pieces that begin with the marker."""
-        texts = [" ".join(words[i : i + WORDS_A_TEXT]) for i in range(0, len(words), WORDS_A_TEXT)]
-        ids = np.array(list(chain.from_iterable(self.exact.encode(texts, num_threads=self.threads))), np.int32)
-        cuts = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
-        if len(cuts) != len(words) + 1:
-            raise RuntimeError("a word has no piece of its own that begins with the marker")
-        raw = ids.tobytes()
-        pieces = [raw[i:j] for i, j in pairwise(cuts.tolist())]
-        self.known.update(zip(words, pieces, strict=True))
-        if array("i", chain.from_iterable(self.encode(texts))).tobytes() != raw:
-            self.unequal.update(w for w, x, y in zip(words, pieces, self.encode(words), strict=True) if x != array("i", y).tobytes())
-
-    def checked(self, texts: Sequence[str]) -> tuple[list[bytes], list[bool]]:
-        """(ids as bytes of 32-bit numbers, parity): the ids of the sentencepiece library, and whether both give them.
-
-        Where no piece reaches from one word into the next, the ids of a text are those of its words one after
-        another, so each different word is encoded once and remembered; other texts are encoded as they are.
-        """
-        split = [x.split(" ") if self.by_words and x and MARK not in x and "  " not in x and x[0] != " " and x[-1] != " " else None for x in texts]
-        full = len(self.known) > MOST_WORDS
-        new = list(set(chain.from_iterable(x for x in split if x)).difference(self.known))
-        if new:
-            self.learn(new)
-        others = iter(zip(*self.whole([x for x, w in zip(texts, split, strict=True) if w is None]), strict=True))
-        out = [next(others) if w is None else (b"".join(map(self.known.__getitem__, w)), not self.unequal or self.unequal.isdisjoint(w)) for w in split]
-        if full:  # words that come late are rare
-            for word in new:
-                del self.known[word]
-                self.unequal.discard(word)
-        return [x for x, _ in out], [x for _, x in out]
+    def checked(self, texts: Sequence[str]) -> tuple[list[list[int]], list[bool]]:
+        """The ids of whole texts, and whether the sentencepiece library gives the same."""
+        ids = self.encode(texts)
+        return ids, [x == y for x, y in zip(ids, self.exact.encode(list(texts), num_threads=self.threads), strict=True)]
 
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         texts = self.fast.decode_batch(ids, skip_special_tokens=False)
@@ -255,6 +211,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...]
     """
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    kept, types = carried(docs, keep, *RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value, threads)
@@ -264,42 +221,37 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...]
                 texts = column.slice(a, b - a).to_pylist()
                 full = [x or "" for x in texts]
                 ids, parity = codec.checked(full)
-                decoded = codec.decode([np.frombuffer(x, np.int32).tolist() for x in ids])
-                back = [codec.normalized(x) == y for x, y in zip(full, decoded, strict=True)]
+                back = [codec.normalized(x) == y for x, y in zip(full, codec.decode(ids), strict=True)]
                 null = [x is None for x in texts]
-                sizes = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                sizes = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1]))
                 columns = [
-                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=pa.array(null)),
+                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat), mask=pa.array(null)),
                     pa.array(np.diff(sizes).astype(np.int64)),
                     pa.array([None if z else x for x, z in zip(parity, null, strict=True)], pa.bool_()),
                     pa.array([None if z else x for x, z in zip(back, null, strict=True)], pa.bool_()),
                 ]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, "token_ids", "n_tokens", "parity", "round_trip"])
-        codec.known.clear()
-        codec.unequal.clear()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, *RESULTS])
         give_back()
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    columns = "".join(f"`{c}` {types[c]}, " for c in keep)
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{columns}token_ids array<int>, n_tokens long, parity boolean, round_trip boolean")
+    return docs.select(*map(quoted, dict.fromkeys((*kept, "text")))).mapInArrow(run, f"{types}token_ids array<int>, n_tokens long, parity boolean, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...] = ("doc_id",), threads: int = 2) -> DataFrame:
     """``keep`` columns of ``encoded`` (token_ids, ...) and text; null ids give a null text."""
     with open(model_path, "rb") as f:
         sent = encoded.sparkSession.sparkContext.broadcast(f.read())
+    kept, types = carried(encoded, keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value, threads)
         for batch in batches:
             ids = batch.column("token_ids").to_pylist()
             texts = codec.decode([x or [] for x in ids])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([None if x is None else y for x, y in zip(ids, texts, strict=True)], pa.string())], [*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([None if x is None else y for x, y in zip(ids, texts, strict=True)], pa.string())], [*kept, "text"])
 
-    types = {f.name: f.dataType.simpleString() for f in encoded.schema}
-    columns = "".join(f"`{c}` {types[c]}, " for c in keep)
-    return encoded.select(*dict.fromkeys((*keep, "token_ids"))).mapInArrow(run, f"{columns}text string")
+    return encoded.select(*map(quoted, dict.fromkeys((*kept, "token_ids")))).mapInArrow(run, f"{types}text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
