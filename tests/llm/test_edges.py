@@ -80,6 +80,24 @@ def test_mixing_edges(spark):
         mixing.mix_sources(docs, {})
 
 
+def test_mixing_tells_rows_without_id_apart(spark):
+    from traceguard.llm import mixing
+
+    docs = spark.range(2000).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text", "'s' as source")
+    got = mixing.shuffled(mixing.mix_sources(docs, size=2.0)).collect()
+    assert len({r.position for r in got}) == len(got) == pytest.approx(4000, rel=0.1)
+    assert [r.position for r in got] == sorted(r.position for r in got)
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    from traceguard.llm import mixing
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text", "if(id % 3 = 0, null, concat('s', id % 500)) as source")
+    sent = sorted(mixing.mix_sources(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(mixing.mix_sources(docs).collect()) == sent
+
+
 def test_mixing_follows_the_poisson_distribution(spark):
     from pyspark.sql import functions as F
 
@@ -89,8 +107,9 @@ def test_mixing_follows_the_poisson_distribution(spark):
     got = mixing.mix_sources(docs, {"big": 0.5, "small": 0.5}).groupBy("source", "rate").count().collect()
     for r in got:
         assert r["count"] == pytest.approx(10000, rel=0.04) and r.rate == pytest.approx(0.625 if r.source == "big" else 2.5)
-    steps = spark.range(1).select(mixing.poisson_steps(F.lit(900.0)).alias("s")).first().s
-    assert steps[-1] == pytest.approx(1.0) and steps[900] == pytest.approx(0.5, abs=0.02)
+    count = lambda rate, u: spark.range(1).select(mixing.poisson_count(F.lit(rate), F.lit(u)).alias("n")).first().n
+    assert [count(2.0, u) for u in (0.0, 0.13, 0.14, 0.41, 0.95)] == [0, 0, 1, 2, 5]
+    assert count(900.0, 0.5) == pytest.approx(900, abs=1) and count(31000.0, 0.5) == pytest.approx(31000, abs=1) and count(0.0, 0.9) == 0
 
 
 def brute_components(texts, k, percent):

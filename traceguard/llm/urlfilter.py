@@ -7,28 +7,33 @@ universe that level 1 holds wrongly; level 3 the listed keys that level 2 holds
 is held wrongly. A key is listed if the first level that lacks it is an even one. That is exact for every key of
 the universe, and each URL is judged by reading bits: no join.
 
+Level 1 gets as many bits a key as it takes to hold no more keys wrongly than are listed, however large the
+universe. So all levels together grow with the list, which the driver holds anyway, and with the logarithm of the
+universe: about 10 to 60 bits for each listed key that the corpus has.
+
 There is one cascade for each action. Of the rules that fit, the longest decides (host and path together).
 
 Cases: a null URL and one without ``://`` have an empty host and path and no rule; so has an empty host. Host
 labels are compared as they stand, a port included. A rule's path must be a prefix of the URL's path, so a rule
 for ``/`` does not fit an empty path. URLs without a rule get ``default``. Repeated rows are judged one by one.
+Columns named like the results are replaced, all others passed through.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import column, materialize, others, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits for each key and hash functions: about 1 in 100 keys is held wrongly.
-BITS, HASHES = 10, 7
-#: The largest filter that is put into a plan: 64 MB.
-MOST_BITS = 1 << 29
+#: The share of keys that a level holds wrongly, and its most hash functions.
+WRONG, HASHES = 0.01, 24
 MOST_LEVELS = 64
 
 
@@ -68,32 +73,35 @@ def url_keys(host: F.Column, path: F.Column, shapes: Sequence[tuple[int, int]])
     return F.sort_array(F.array_compact(F.array(*keys))) if keys else F.array().cast("array<string>")
 
 
+def _literal(values: Sequence, kind: str) -> F.Column:
+    """An array literal of any length, sent as one text and read when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+
+
 class Bloom:
-    """A Bloom filter whose bits are an array literal of longs."""
+    """A Bloom filter whose bits are one array literal of longs."""
 
-    def __init__(self, keys: DataFrame, level: int) -> None:
-        """``keys``: one string column, distinct."""
-        self.n = keys.count()
-        self.bits = max(64, -(-self.n * BITS // 64) * 64)
+    def __init__(self, keys: DataFrame, n: int, wrong: float, level: int) -> None:
+        """``keys``: one string column of ``n`` distinct keys; ``wrong``: the share of others that it may hold."""
+        self.hashes = max(1, min(HASHES, round(math.log2(1 / wrong))))
+        # With h hashes, m bits hold a share (1 - exp(-h * n / m)) ** h of all other keys.
+        self.bits = max(64, math.ceil(-self.hashes * n / math.log1p(-(wrong ** (1 / self.hashes))) / 64) * 64)
         self.level = level
-        if self.bits > MOST_BITS:
-            raise ValueError(f"{self.n} keys need a filter of more than {MOST_BITS} bits; split the list by host hash")
-        words = [0] * (self.bits // 64)
-        spots = keys.select(F.explode(F.array(*self._spots(F.col(keys.columns[0])))).alias("spot"))
+        spots = keys.select(F.explode(self._spots(F.col(keys.columns[0]))).alias("spot"))
         grouped = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))).alias("bits"))
-        for x in grouped.toLocalIterator():  # bounded by MOST_BITS
+        words = [0] * (self.bits // 64)
+        for x in grouped.toLocalIterator():  # of listed keys or about as many: no more than the rules in memory
             words[x.word] = x.bits
-        self.words = words
+        self.words = _literal(words, "bigint")
 
-    def _spots(self, key: F.Column) -> list[F.Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.level * 100 + i)), F.lit(self.bits)) for i in range(HASHES)]
+    def _spots(self, key: F.Column) -> F.Column:
+        """Double hashing; the second hash is odd."""
+        first, second = F.xxhash64(key, F.lit(2 * self.level)), F.xxhash64(key, F.lit(2 * self.level + 1)).bitwiseOR(F.lit(1))
+        both = F.transform(F.array(F.struct(first.alias("a"), second.alias("b"))), lambda h: F.transform(F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda i: F.pmod(F.pmod(h["a"], F.lit(self.bits)) + i * F.pmod(h["b"], F.lit(self.bits)), F.lit(self.bits))))
+        return F.flatten(both)
 
     def holds(self, key: F.Column) -> F.Column:
-        words, out = F.lit(self.words), None
-        for spot in self._spots(key):
-            one = F.getbit(F.get(words, F.shiftright(spot, 6).cast("int")), F.pmod(spot, F.lit(64)).cast("int")) == 1
-            out = one if out is None else out & one
-        return out
+        return F.forall(self._spots(key), lambda spot: F.getbit(F.get(self.words, F.shiftright(spot, 6).cast("int")), F.pmod(spot, F.lit(64)).cast("int")) == 1)
 
 
 class Cascade:
@@ -106,14 +114,14 @@ class Cascade:
         outside = universe.join(listed.select("key").distinct(), "key", "left_anti")
         self.levels: list[Bloom] = []
         encode, wrong = inside, outside
-        while True:
+        n, rest = encode.count(), wrong.count()
+        while n:
             if len(self.levels) >= MOST_LEVELS:
                 raise RuntimeError("the cascade does not end")
-            level = Bloom(encode, len(self.levels) + 1)
-            if not level.n:
-                break
+            level = Bloom(encode, n, min(WRONG, n / max(1, rest)), len(self.levels) + 1)
             self.levels.append(level)
-            encode, wrong = wrong.where(level.holds(F.col("key"))), encode
+            encode, wrong = materialize(wrong.where(level.holds(F.col("key"))), "held"), encode
+            n, rest = encode.count(), n
 
     def holds(self, key: F.Column) -> F.Column:
         out = F.lit(len(self.levels) % 2 == 1)
@@ -133,25 +141,20 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str =
 
     The list of rules may be long: a plan holds its filters, not its rules, and rules are read back from the key.
     """
-    spark = pages.sparkSession
-    names = ("host", "path", "rule", "verdict")
+    own = others(pages.columns, "host", "path", "rule", "verdict")
     host, path = host_and_path(F.col("url"))
-    own = [c for c in pages.columns if c not in names]
-    split = pages.select(*own, host.alias("host"), path.alias("path"))
+    split = pages.select(F.struct(*map(column, own)).alias("own"), host.alias("host"), path.alias("path"))
     shapes = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})
-    universe = pages.select(host.alias("host"), path.alias("path")).select(F.explode(url_keys(F.col("host"), F.col("path"), shapes)).alias("key")).distinct()
-    universe = materialize(universe, "urls")
-    actions = {r.text: r.action for r in rules}  # of rules for one text, the last counts
     keys = url_keys(F.col("host"), F.col("path"), shapes)
+    universe = materialize(split.select(F.explode(keys).alias("key")).distinct(), "urls")
+    actions = {r.text: r.action for r in rules}  # of rules for one text, the last counts
     found = []
     for action in sorted(set(actions.values())):
-        listed = spark.range(1).select(F.explode(F.lit([k for k, a in actions.items() if a == action])).alias("key"))
-        cascade = Cascade(universe, listed)
-        found.append(_fitting(keys, cascade, action))
-    if not found:
-        return split.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    best = F.array_max(F.concat(*found) if len(found) > 1 else found[0])
-    return split.withColumn("best", best).select(*own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+        listed = pages.sparkSession.range(1).select(F.explode(_literal([k for k, a in actions.items() if a == action], "string")).alias("key"))
+        found.append(_fitting(keys, Cascade(universe, listed), action))
+    best = F.array_max(F.concat(*found) if len(found) > 1 else found[0]) if found else F.expr("cast(null as struct<length:int,rule:string,action:string>)")
+    judged = split.withColumn("best", best)
+    return judged.select(*(F.col("own")[c].alias(c) for c in own), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
