@@ -44,6 +44,36 @@ def test_language_held_out_accuracy(spark):
     assert (got.lang == got.lang_pred).mean() > 0.95 and got.rejected.mean() < 0.01
 
 
+def test_models_learn_from_long_texts_alone(spark):
+    from traceguard.llm import langid, quality
+
+    words = {"en": "the house of the river and they were there", "de": "das haus an dem fluss und sie waren nicht dort"}
+    rows = [(i, " ".join([words[la]] * 1200) + f" {i}", la) for i in range(40) for la in (("en", "de")[i % 2],)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs)
+    tested = spark.createDataFrame([(1, words["en"]), (2, words["de"])], "doc_id long, text string")
+    assert [r.lang_pred for r in sorted(langid.predict(tested, model).collect())] == ["en", "de"]
+    model = quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    assert len(model.labels) == 40
+    assert [r.score > 0.5 for r in sorted(quality.score(tested, model).collect())] == [False, True]
+
+
+def test_models_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    from traceguard.llm import langid, quality
+
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    rows = [(None if i % 5 else i, f"{'the of and' if i % 2 else 'und der die'} w{i % 70} x{i % 9}", ("en", "de")[i % 2 == 0]) for i in range(300)]
+    fitted = []
+    for way in (rows, rows[::-1]):
+        docs = spark.createDataFrame(way, "doc_id long, text string, lang string").repartition(4)
+        labels = docs.where("doc_id is not null").selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+        votes = quality.fit(docs, labels.union(labels))
+        fitted.append((langid.fit(docs).table, votes.vectors, votes.labels))
+    for a, b in zip(*fitted, strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_line_dedup_edges(spark):
     from traceguard.llm import linededup
 

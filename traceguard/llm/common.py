@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +27,20 @@ def others(names: Iterable[str], *results: str) -> list[str]:
     return [x for x in names if x.lower() not in taken]
 
 
-def carried(docs: DataFrame, keep: Iterable[str], *results: str) -> tuple[list[str], str]:
-    """The columns of ``keep`` that are passed through a Python function, and their types for its schema."""
+def carried(docs: DataFrame, keep: Iterable[str], *results: str) -> tuple[list[str], DataFrame, StructField]:
+    """What goes through a Python function beside the text: names, ``docs`` with these columns in ``own``, its type.
+
+    ``own`` is a struct, so that no name of a column can clash with another on the way.
+    """
     kept = others(keep, *results)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return kept, "".join("`" + c.replace("`", "``") + f"` {types[c]}, " for c in kept)
+    own = F.struct(*map(column, kept)) if kept else F.struct(F.lit(None).cast("string").alias("none"))
+    packed = docs.select(*map(column, others(docs.columns, "own")), own.alias("own"))
+    return kept, packed, StructField("own", packed.select("own").schema["own"].dataType)
+
+
+def released(df: DataFrame, kept: Iterable[str], *results: str | Column) -> DataFrame:
+    """The columns held in ``own``, and results."""
+    return df.select(*(F.col("own")[c].alias(c) for c in kept), *results)
 
 
 def shared_dir(spark: SparkSession) -> str:

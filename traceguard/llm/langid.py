@@ -2,7 +2,8 @@
 
 A text's byte n-grams (2 to 4 bytes, lower-cased, white space as one separator) are hashed into buckets; the mean
 of their embeddings goes through a linear layer and a softmax. Embeddings and layer are trained in numpy by
-stochastic gradient descent on a bounded sample. For prediction both are multiplied out into one table of a few
+stochastic gradient descent on a bounded sample of labelled texts, of which each task sends a bounded number of
+n-grams, drawn from the whole text. For prediction both are multiplied out into one table of a few
 numbers for each bucket, so a text costs one table row for each n-gram, and the documents are not shuffled.
 
 The softmax's temperature and the score below which a prediction is rejected are calibrated on a part of the
@@ -10,28 +11,36 @@ sample that training doesn't see.
 
 Cases: a null text and one without a letter get ``und``, score 0, rejected. Texts of any length are read whole.
 Without any labelled row every text gets ``und``. Equal scores go to the language that sorts first. A null doc_id
-is never held out. Repeated rows are predicted one by one.
+is never held out. Repeated rows are learnt from once and predicted one by one; the sample depends on doc_id, text and
+lang alone, not on the order of rows. Further columns named in ``keep`` are passed through, but for those named like a
+result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import held_out, table
+from .common import carried, held_out, released, table
 from .kernels import give_back, groups, strings
 
 BUCKETS_LOG2 = 16
 ORDERS = (2, 3, 4)
 DIM = 16
-#: The training sample: at most so many documents in all and of one language, none longer than SAMPLE_BYTES.
-SAMPLE, SAMPLE_LANG, SAMPLE_BYTES = 6000, 1500, 32768
+#: The training sample: about so many documents in all and of one language, at most twice as many in all.
+SAMPLE, SAMPLE_LANG = 6000, 1500
+#: The n-grams of a document that are learnt from: so many are drawn from a longer text.
+DRAWN = 4096
+RESULTS = ("lang_pred", "score", "rejected")
 UNDETERMINED = "und"
 #: The share of right predictions on calibration texts that may be rejected, and the highest threshold.
 REJECTED_SHARE, HIGHEST_THRESHOLD = 0.001, 0.5
@@ -101,41 +110,55 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """A bounded sample of (text, lang): the same number of each language, chosen by a hash of doc_id."""
-    small = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= SAMPLE_BYTES))
-    counts = {r.lang: r.n for r in small.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()}
-    if not counts:
-        return small.select("doc_id", "text", "lang").limit(0)
-    each = max(1, min(SAMPLE_LANG, SAMPLE // len(counts)))
-    cut = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return small.where(chance < cut[F.col("lang")]).select("doc_id", "text", "lang").limit(2 * SAMPLE)
-
-
-def _bags(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bags(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """For each text the buckets of its n-grams, in order of place; at most DRAWN, taken from all over the text."""
     every = list(subwords(data, offsets))
-    out = []
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        bucket, n = np.unique(np.concatenate([x[a:b] for x in every]), return_counts=True)
-        keep = bucket < 1 << BUCKETS_LOG2
-        out.append((bucket[keep].astype(np.uint16), (n[keep] / max(1, n[keep].sum())).astype(np.float32)))
-    return out
+    for a, b in pairwise(offsets.tolist()):
+        bucket = np.concatenate([x[a:b] for x in every])
+        bucket = bucket[bucket < 1 << BUCKETS_LOG2].astype(np.uint16)
+        if len(bucket) > DRAWN:
+            rng = np.random.default_rng(zlib.crc32(data[a:b]))
+            bucket = bucket[np.sort(rng.choice(len(bucket), DRAWN, replace=False))]
+        yield bucket
 
 
-def train(texts: pa.Array, langs: list[str], epochs: int = 4, rate: float = 0.3, most: int = 300, batch: int = 32) -> Model:
+def sample(docs: DataFrame) -> DataFrame:
+    """A bounded sample of (nr, lang, bag): about the same number of each language, chosen by ``nr``, a hash of doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = strings(batch.column("text"))
+            for a, b in groups(offsets):
+                bags = [x.tobytes() for x in _bags(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("nr"), part.column("lang"), pa.array(bags, pa.binary())], ["nr", "lang", "bag"])
+
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()}
+    nr = F.xxhash64("doc_id", "text", F.lit("langid"))
+    x = known.select(nr.alias("nr"), "lang", "text")
+    if counts:
+        each = max(1, min(SAMPLE_LANG, SAMPLE // len(counts)))
+        cut = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))))
+        x = x.where(F.pmod("nr", F.lit(1 << 30)) / F.lit(float(1 << 30)) < cut[F.col("lang")])
+    # Copies of one row have one number: they count once.
+    once = x.mapInArrow(run, "nr long, lang string, bag binary").groupBy("nr", "lang").agg(F.min("bag").alias("bag"))
+    return once.orderBy("nr", "lang").limit(2 * SAMPLE)
+
+
+def train(drawn: list[np.ndarray], langs: list[str], epochs: int = 4, rate: float = 0.3, most: int = 300, batch: int = 32) -> Model:
     """Fit embeddings and layer by SGD (Adagrad steps), then temperature and threshold.
 
-    ``most``: n-grams drawn from a text in one step.
+    ``drawn``: buckets of each text's n-grams; ``most``: how many of them one step takes from a text.
     """
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros(((1 << BUCKETS_LOG2) + 1, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(1)
-    data, offsets = strings(texts)
     bags = []
-    for a, b in groups(offsets):
-        bags += _bags(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    for x in drawn:
+        bucket, n = np.unique(x, return_counts=True)
+        bags.append((bucket, (n / max(1, n.sum())).astype(np.float32)))
     y = np.array([names.index(x) for x in langs])
     order = rng.permutation(len(y))
     dev, fit = order[: len(y) // 6], order[len(y) // 6 :]
@@ -172,9 +195,7 @@ def train(texts: pa.Array, langs: list[str], epochs: int = 4, rate: float = 0.3,
             embed[rows] -= rate * step / np.sqrt(seen_embed[rows])
     model = Model(names, np.vstack([embed @ layer, np.zeros((1, len(names)), np.float32)]), bias.astype(np.float64))
     if len(dev):
-        texts_dev = texts.take(pa.array(dev))
-        data, offsets = strings(texts_dev)
-        logits = np.concatenate([model.logits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in groups(offsets)])
+        logits = np.stack([weight @ model.table[bucket] + model.bias for bucket, weight in (bags[d] for d in dev)]).astype(np.float64)
         losses = {t: -np.log(softmax(logits * t)[np.arange(len(dev)), y[dev]] + 1e-12).mean() for t in (0.25, 0.5, 1, 2, 4, 8)}
         model.temperature = float(min(losses, key=losses.get))
         p = softmax(logits * model.temperature)
@@ -186,8 +207,8 @@ def train(texts: pa.Array, langs: list[str], epochs: int = 4, rate: float = 0.3,
 
 def fit(docs: DataFrame) -> Model:
     """Train on a bounded sample of ``docs`` (doc_id, text, lang)."""
-    rows = sample(docs).toArrow().sort_by("doc_id")
-    model = train(rows.column("text").combine_chunks(), rows.column("lang").to_pylist())
+    rows = sample(docs).toArrow().sort_by([("nr", "ascending"), ("lang", "ascending")])
+    model = train([np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("bag")], rows.column("lang").to_pylist())
     del rows
     give_back()
     return model
@@ -195,7 +216,7 @@ def fit(docs: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` (but none named like a result) with lang_pred, score and rejected."""
-    keep = tuple(c for c in keep if c not in ("lang_pred", "score", "rejected"))
+    kept, packed, own = carried(docs, keep, *RESULTS)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +234,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                     best[a:b] = np.where(letter, p.argmax(1), len(m.langs))
                     score[a:b] = np.where(letter, p.max(1), 0)
             rejected = (best == len(m.langs)) | (score < m.threshold)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], ["own", *RESULTS])
         give_back()
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    columns = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{columns}, lang_pred string, score double, rejected boolean")
+    schema = StructType([own, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    return released(packed.select("own", "text").mapInArrow(run, schema), kept, *RESULTS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ into that space and its cosine with every labelled vector is computed in blocks
 Cases: a null or empty text, one without words, and every text if nothing is labelled 0 or 1, get the share of
 label 1 among the labelled documents (0.5 without any). Texts are read whole. Labels that are null or not 0 or 1
 and labels without a document are passed over; of repeated labels for a doc_id each counts. A null doc_id is
-never held out. Repeated rows are scored one by one.
+never held out. Repeated rows are scored one by one. The sample and the model depend on the rows, not on their order.
+Further columns named in ``keep`` are passed through, but for one named like the result.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, table
+from .common import carried, held_out, released, table
 from .kernels import Words, give_back, groups, mix, strings
 
-#: Labelled documents that are broadcast: at most so many, none longer than SAMPLE_BYTES.
-SAMPLE, SAMPLE_BYTES = 4096, 65536
+#: Labelled documents that are broadcast: about so many, at most twice as many.
+SAMPLE = 4096
 RANK, NEIGHBOURS = 64, 25
 TRIGRAMS, SHAPES, PAIRS, SHARES = 2048, 512, 512, 8
 DIMS = TRIGRAMS + SHAPES + PAIRS + SHARES
@@ -96,17 +98,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, quality, features): one binary of float32 for each document."""
+    """(nr, doc_id, quality, features): one binary of float32 for each document."""
+    names = ("nr", "doc_id", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = strings(batch.column("text"))
             for a, b in groups(offsets):
-                x = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "quality", "features"])
+                for i in range(a, b, BLOCK):
+                    j = min(i + BLOCK, b)
+                    x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    part = batch.slice(i, j - i)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([v.tobytes() for v in x], pa.binary())], [*names, "features"])
 
-    return docs.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, features binary")
+    return docs.select(*names, "text").mapInArrow(run, "nr long, doc_id long, quality int, features binary")
 
 
 @dataclass
@@ -165,10 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample, chosen by a hash of doc_id, of ``labels`` (doc_id, quality) that have a document."""
     labels = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     share = min(1.0, SAMPLE / max(1, labels.count()))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labels.where(chance < share).limit(2 * SAMPLE)  # about SAMPLE rows, so few that they can be broadcast
-    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = _featured(rows).limit(2 * SAMPLE).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    nr = F.xxhash64("doc_id", F.lit("quality"))
+    chosen = labels.where(F.pmod(nr, F.lit(1 << 30)) / F.lit(float(1 << 30)) < share).orderBy(nr, "doc_id", "quality").limit(2 * SAMPLE)  # so few that they can be broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("nr", F.xxhash64("doc_id", "quality", "text"))
+    order = ["nr", "doc_id", "quality"]
+    got = _featured(rows).orderBy(*order).limit(2 * SAMPLE).toArrow().sort_by([(c, "ascending") for c in order])
     x = np.frombuffer(b"".join(got.column("features").to_pylist()), np.float32).reshape(-1, DIMS)
     return train(x, got.column("quality").to_numpy())
 
@@ -176,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` (text, ...) and score, the weighted share of votes for label 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept, packed, own = carried(docs, keep, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -186,12 +193,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
                 for i in range(a, b, BLOCK):
                     j = min(i + BLOCK, b)
                     parts.append(m.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.concatenate(parts))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(np.concatenate(parts))], ["own", "score"])
         give_back()
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    columns = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{columns}, score double")
+    return released(packed.select("own", "text").mapInArrow(run, StructType([own, StructField("score", DoubleType())])), kept, "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

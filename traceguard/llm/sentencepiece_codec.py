@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import carried, table
-from .common import column as quoted
+from .common import carried, released, table
 from .kernels import give_back
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...]
     """
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    kept, types = carried(docs, keep, *RESULTS)
+    kept, packed, own = carried(docs, keep, *RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value, threads)
@@ -232,26 +232,27 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...]
                     pa.array([None if z else x for x, z in zip(back, null, strict=True)], pa.bool_()),
                 ]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, *RESULTS])
+                yield pa.RecordBatch.from_arrays([part.column("own"), *columns], ["own", *RESULTS])
         give_back()
 
-    return docs.select(*map(quoted, dict.fromkeys((*kept, "text")))).mapInArrow(run, f"{types}token_ids array<int>, n_tokens long, parity boolean, round_trip boolean")
+    schema = StructType([own, StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("parity", BooleanType()), StructField("round_trip", BooleanType())])
+    return released(packed.select("own", "text").mapInArrow(run, schema), kept, *RESULTS)
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...] = ("doc_id",), threads: int = 2) -> DataFrame:
     """``keep`` columns of ``encoded`` (token_ids, ...) and text; null ids give a null text."""
     with open(model_path, "rb") as f:
         sent = encoded.sparkSession.sparkContext.broadcast(f.read())
-    kept, types = carried(encoded, keep, "text")
+    kept, packed, own = carried(encoded, keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value, threads)
         for batch in batches:
             ids = batch.column("token_ids").to_pylist()
             texts = codec.decode([x or [] for x in ids])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([None if x is None else y for x, y in zip(ids, texts, strict=True)], pa.string())], [*kept, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array([None if x is None else y for x, y in zip(ids, texts, strict=True)], pa.string())], ["own", "text"])
 
-    return encoded.select(*map(quoted, dict.fromkeys((*kept, "token_ids")))).mapInArrow(run, f"{types}text string")
+    return released(packed.select("own", "token_ids").mapInArrow(run, StructType([own, StructField("text", StringType())])), kept, "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
