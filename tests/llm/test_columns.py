@@ -112,7 +112,7 @@ def test_jaccard(spark, ansi):
     classed = jaccard.classes(docs, 3, 90)
     assert classed.count() == len(texts()) and jaccard.component_ids(classed).count() == len(texts())
     left = jaccard.without_duplicates(docs, classed)
-    assert left.columns == docs.columns and {r["a.b"] for r in left.collect()} == {"dotted"}
+    assert sorted(left.columns) == sorted(docs.columns) and {r["a.b"] for r in left.collect()} == {"dotted"}
 
 
 def test_vectors(spark, ansi):
@@ -141,8 +141,7 @@ def test_sql_and_operator_agree_on_odd_rows(spark, tmp_path, ansi, name):
 
     from .test_sql import rows
 
-    odd = [x for x in texts() if x[0] is not None] if name.startswith("op5") else texts()
-    spark.createDataFrame(odd, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(texts(), "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet({glob.glob(os.path.join(tmp_path, 'documents.parquet', '*.parquet'))})")
     want = con.execute(ORACLES[name])

@@ -207,6 +207,31 @@ def test_jaccard_finds_every_component(spark, k, percent, monkeypatch):
     assert [got[i].n_shingles for i in range(len(texts))] == sizes
 
 
+def test_jaccard_ways_agree(spark, monkeypatch):
+    """Exact mode, names that collide, and the join in place of the bitmap give the same components."""
+    from traceguard.llm import jaccard
+
+    rng = np.random.default_rng(1)
+    base = [f"w{x}" for x in rng.integers(0, 400, 120)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.integers(0, 120, i % 7):
+            words[at] = f"n{i}x{at}"
+        texts.append(" ".join(words))
+    docs = jaccard.numbered(spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9])], "doc_id long, text string").repartition(3))
+    run = lambda **more: sorted(jaccard.component_ids(jaccard.classes(docs, 3, 90, **more)).collect())
+    roots, sizes = brute_components(texts + texts[:9], 3, 90)
+    want = run()
+    assert [(r.n_shingles, r.component_id) for r in want] == list(zip(sizes, roots, strict=True))
+    assert run(loss=0.0) == want
+    monkeypatch.setattr(jaccard, "MOST_LOG2", 3)
+    assert run() == want
+    rows = [(1, "a", 10, None), (1, "b", 11, None), (2, "c", 12, None), (2, "d", 12, None)]
+    named = jaccard._one_name_a_set(spark.createDataFrame(rows, "node long, row string, second long, keys array<long>")).collect()
+    assert len({r.node for r in named if r.row in "ab"}) == 2 and {r.node for r in named if r.row in "cd"} == {2}
+
+
 def test_components_of_a_path(spark):
     from traceguard.llm.components import components
 

@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges``: two columns u, v of longs; loops, repeated and reversed rows are allowed, nulls are dropped.
     Each round costs two shuffles of the links and is written to the shared folder, so a lost executor costs
-    one round at most. Star-shaped links take two or three rounds, a path of n nodes about log n.
+    one round at most. Minima are written before they are joined, so that Spark can split a node with many links.
+    Star-shaped links take two or three rounds, a path of n nodes about log n.
     """
     u, v = edges.columns
     links = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct()
@@ -25,9 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _state(links)) != before:
         before = now
         both = links.union(links.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         links = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
     roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

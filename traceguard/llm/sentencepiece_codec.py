@@ -119,6 +119,14 @@ class PieceModel:
                         found.append((-score, ids[piece[:cut]], ids[piece[cut:]], piece[:cut], piece[cut:]))
         return [x[3:] for x in sorted(found)]
 
+    def plain(self) -> bool:
+        """Normalising only puts in markers, and nothing is matched before that."""
+        return not self.charsmap and not self.strip_spaces and self.escape_spaces and all(kind != USER_DEFINED for _, _, kind in self.pieces)
+
+    def marked(self, text: str) -> str:
+        """What the normaliser makes of a text, if that is plain."""
+        return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
+
     def tokenizer(self):
         from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
@@ -137,9 +145,9 @@ class PieceModel:
             steps.append(normalizers.Prepend(MARK if self.escape_spaces else " "))
         if self.escape_spaces:
             steps.append(normalizers.Replace(" ", MARK))
-        if steps:
+        # Plain markers are put in before and replaced after by string functions, which is faster than steps of the library.
+        if steps and not self.plain():
             out.normalizer = normalizers.Sequence(steps)
-        # The model sees whole texts; the marker is replaced after decoding, which is faster than a decoder's step.
         out.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
         own = [AddedToken(p, normalized=False, special=False) for p, _, kind in self.pieces if kind == USER_DEFINED]
         if own:
@@ -156,11 +164,12 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = PieceModel.parse(data)
-        self.fast = self.model.tokenizer()
+        self.fast, self.plain = self.model.tokenizer(), self.model.plain()
         self.exact = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
+        texts = [self.model.marked(x) for x in texts] if self.plain else texts
         return [x.ids for x in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
 
     def checked(self, texts: Sequence[str]) -> tuple[list[list[int]], list[bool]]:
@@ -169,7 +178,7 @@ class Codec:
         return ids, [x == y for x, y in zip(ids, self.exact.encode(list(texts), num_threads=self.threads), strict=True)]
 
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
-        texts = self.fast.decode_batch(ids, skip_special_tokens=False)
+        texts = [self.fast.decode(x, skip_special_tokens=False) for x in ids]
         texts = [x.replace(MARK, " ") for x in texts] if self.model.escape_spaces else texts
         return [x.removeprefix(" ") for x in texts] if self.model.dummy_prefix else texts
 
