@@ -11,8 +11,8 @@ a block's bucket is first paired with the bucket's smallest member, and in bucke
 several components with other members in turn; at last pairs remain only between members of one bucket that lie in
 different components.
 
-What is counted of a bucket or a component is aggregated before it is shuffled, and written before it is joined, so
-that Spark can split a bucket or component that holds many rows.
+What is counted of a bucket or a component is aggregated before it is shuffled, and written before it is joined
+where there are many rows, so that Spark can split a bucket or component that holds most of them.
 
 A set goes by a 64-bit name; where a second hash shows that two sets share it, both get new names. Rows go by 128 bits.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .components import components
+from .components import MANY, components
 from .kernels import Words, give_back, groups, mix, shingles, strings
 
 SKETCH_WORDS = 64
@@ -41,7 +41,7 @@ SKETCH_WORDS = 64
 LOSS = 1e-10
 #: Buckets of up to FEW members are expanded by a join; larger ones are compared in chunks of about CHUNK members,
 #: after TURNS of their members have been paired with all others.
-FEW, CHUNK, TURNS = 8, 1000, 2
+FEW, CHUNK, TURNS = 8, 1000, 1
 #: Bits of the bitmap of wanted rows for each of them, and of the whole as a power of two: 32 MB.
 BITMAP_BITS, MOST_LOG2 = 16, 28
 
@@ -325,13 +325,18 @@ def _open_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
     known = shared.select("key", "node").join(found.withColumnRenamed("root", "part"), "node", "left")
     known = materialize(known.select("key", "node", F.coalesce("part", "node").alias("part")), "known")
     spread = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members")).where("low < high")
-    return materialize(known.join(materialize(spread.select("key", "members"), "spread"), "key").select("key", "node", "part", "members"), "open")
+    spread = spread.select("key", "members")
+    if known.count() > MANY:
+        spread = materialize(spread, "spread")
+    return materialize(known.join(spread, "key").select("key", "node", "part", "members"), "open")
 
 
 def _stars(open_: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of one member of each bucket, another one in every turn, with those in other components."""
     hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "part")).alias("hub"))
-    hub = materialize(hub.select("key", F.col("hub.node").alias("hub"), F.col("hub.part").alias("hub_part")), "hubs")
+    hub = hub.select("key", F.col("hub.node").alias("hub"), F.col("hub.part").alias("hub_part"))
+    if open_.count() > MANY:
+        hub = materialize(hub, "hubs")
     pairs = open_.join(hub, "key").where("part <> hub_part")
     return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
