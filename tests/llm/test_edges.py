@@ -208,8 +208,8 @@ def test_jaccard_finds_every_component(spark, k, percent, monkeypatch):
 
 
 def test_jaccard_ways_agree(spark, monkeypatch):
-    """Exact mode, names that collide, and the join in place of the bitmap give the same components."""
-    from traceguard.llm import jaccard
+    """Exact mode, names that collide, and the joins in place of bitmap and broadcasts give the same components."""
+    from traceguard.llm import components, jaccard
 
     rng = np.random.default_rng(1)
     base = [f"w{x}" for x in rng.integers(0, 400, 120)]
@@ -226,6 +226,7 @@ def test_jaccard_ways_agree(spark, monkeypatch):
     assert [(r.n_shingles, r.component_id) for r in want] == list(zip(sizes, roots, strict=True))
     assert run(loss=0.0) == want
     monkeypatch.setattr(jaccard, "MOST_LOG2", 3)
+    monkeypatch.setattr(components, "MANY", 0)
     assert run() == want
     rows = [(1, "a", 10, None), (1, "b", 11, None), (2, "c", 12, None), (2, "d", 12, None)]
     named = jaccard._one_name_a_set(spark.createDataFrame(rows, "node long, row string, second long, keys array<long>")).collect()

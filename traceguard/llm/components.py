@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Links of 16 bytes that one task can well hold.
-MANY = 4_000_000
+#: Aggregates of so many rows, at most 24 bytes each, can be broadcast.
+MANY = 200_000
+
+
+def beside(small: DataFrame, rows: int) -> DataFrame:
+    """An aggregate of ``rows`` rows, made ready to be joined with them: none of them then waits for a hot key."""
+    return F.broadcast(small) if rows <= MANY else materialize(small, "beside")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges``: two columns u, v of longs; loops, repeated and reversed rows are allowed, nulls are dropped.
     Each round costs two shuffles of the links and is written to the shared folder, so a lost executor costs
-    one round at most. Where there are more than ``MANY`` links, minima are written before they are joined, so that
-    Spark can split a node with many links; with fewer, no node has enough to be worth it.
+    one round at most. The minima of up to ``MANY`` links are broadcast; more are written before they are joined, so
+    that Spark can split a node with many links.
     Star-shaped links take two or three rounds, a path of n nodes about log n.
     """
     u, v = edges.columns
@@ -30,10 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _state(links)) != before:
         before = now
         both = links.union(links.select(F.col("v"), F.col("u")))
-        written = (lambda x: materialize(x, "low")) if now[0] > MANY else (lambda x: x)
-        low = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        low = beside(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), now[0])
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = beside(large.groupBy("u").agg(F.min("v").alias("m")), now[0])
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         links = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
     roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

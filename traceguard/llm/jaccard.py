@@ -11,8 +11,8 @@ a block's bucket is first paired with the bucket's smallest member, and in bucke
 several components with other members in turn; at last pairs remain only between members of one bucket that lie in
 different components.
 
-What is counted of a bucket or a component is aggregated before it is shuffled, and written before it is joined
-where there are many rows, so that Spark can split a bucket or component that holds most of them.
+What is counted of a bucket or a component is aggregated before it is shuffled. Then it is broadcast if it is small,
+else written before it is joined, so that Spark can split a bucket or component that holds most rows.
 
 A set goes by a 64-bit name; where a second hash shows that two sets share it, both get new names. Rows go by 128 bits.
 
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .components import MANY, components
+from .common import materialize, scratch, table
+from .components import beside, components
 from .kernels import Words, give_back, groups, mix, shingles, strings
 
 SKETCH_WORDS = 64
@@ -325,18 +325,14 @@ def _open_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
     known = shared.select("key", "node").join(found.withColumnRenamed("root", "part"), "node", "left")
     known = materialize(known.select("key", "node", F.coalesce("part", "node").alias("part")), "known")
     spread = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members")).where("low < high")
-    spread = spread.select("key", "members")
-    if known.count() > MANY:
-        spread = materialize(spread, "spread")
+    spread = beside(spread.select("key", "members"), known.count())
     return materialize(known.join(spread, "key").select("key", "node", "part", "members"), "open")
 
 
 def _stars(open_: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of one member of each bucket, another one in every turn, with those in other components."""
     hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "part")).alias("hub"))
-    hub = hub.select("key", F.col("hub.node").alias("hub"), F.col("hub.part").alias("hub_part"))
-    if open_.count() > MANY:
-        hub = materialize(hub, "hubs")
+    hub = beside(hub.select("key", F.col("hub.node").alias("hub"), F.col("hub.part").alias("hub_part")), open_.count())
     pairs = open_.join(hub, "key").where("part <> hub_part")
     return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
@@ -349,50 +345,51 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, loss: float = LOSS)
     words, which is linked with nothing. ``percent``: two documents link when 100 * intersection >= percent * union.
     ``loss``: the chance to miss a linked pair that is accepted for fewer candidates; with 0 none is missed.
     """
-    docs = docs.select("row", "doc_id", "text")
-    sketched = docs.mapInArrow(_sketch(k, percent, loss), "row binary, doc_id long, n_shingles long, node long, second long, keys array<long>")
-    sketched = _one_name_a_set(materialize(sketched, "sketch"))
-
-    keys = sketched.where("size(keys) > 0").select("node", F.explode("keys").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    shared = materialize(keys.join(materialize(hubs.select("key", "hub"), "hubs"), "key").select("key", "node", "hub").distinct(), "shared")
-
-    stars = materialize(shared.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    nodes = shared.select("node").distinct()
-    rows = sketched.where("size(keys) > 0").select("node", "row").groupBy("node").agg(F.min("row").alias("row")).join(nodes, "node")
-    sets = materialize(_wanted_sets(docs, materialize(rows, "rows"), k), "sets")
-
-    links = materialize(_verify(stars, sets, percent), "links")
-    found = components(links)
-
-    # What is left: pairs in one bucket whose components differ. In large buckets other members become hubs in turn.
-    # Then each node goes to one of its large buckets, the one with the smallest key, and only pairs that would join
-    # components are tried there, as large buckets of near copies would bring up the same pairs again and again.
-    # At last all buckets are gone through.
-    tried, open_ = stars, _open_buckets(shared, found)
-    for turn in range(TURNS + 1):
-        large = open_.where(F.col("members") > FEW)
-        if large.isEmpty():
-            break
-        if turn < TURNS:
-            more = _stars(large, turn)
-        else:
-            once = large.groupBy("node").agg(F.min(F.struct("key", "part", "members")).alias("b")).select("node", "b.*")
-            more = _close_pairs(once, sets, percent, forest=True).distinct()
-        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "more")
-        tried, links = tried.union(more), materialize(links.union(_verify(more, sets, percent)), "links")
-        open_ = _open_buckets(open_, components(links))
-    few = open_.where(F.col("members") <= FEW)
-    left, right = (few.select("key", F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
-    rest = left.join(right, "key").where("a < b and part_a <> part_b").select("a", "b")
-    rest = rest.union(_close_pairs(open_.where(F.col("members") > FEW), sets, percent)).distinct()
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    found = components(links.union(_verify(rest, sets, percent)))
-
-    rows = sketched.select("row", "doc_id", "n_shingles", "node")
-    full = rows.where("node is not null").join(found, "node", "left")
-    full = full.select("row", "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
-    return materialize(full.union(rows.where("node is null").select("row", "doc_id", "n_shingles", "node", F.lit(None).cast("long").alias("root"))), "classes")
+    with scratch(docs.sparkSession):
+        docs = docs.select("row", "doc_id", "text")
+        sketched = docs.mapInArrow(_sketch(k, percent, loss), "row binary, doc_id long, n_shingles long, node long, second long, keys array<long>")
+        sketched = _one_name_a_set(materialize(sketched, "sketch"))
+
+        keys = sketched.where("size(keys) > 0").select("node", F.explode("keys").alias("key"))
+        hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
+        shared = materialize(keys.join(materialize(hubs.select("key", "hub"), "hubs"), "key").select("key", "node", "hub").distinct(), "shared")
+
+        stars = materialize(shared.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        nodes = shared.select("node").distinct()
+        rows = sketched.where("size(keys) > 0").select("node", "row").groupBy("node").agg(F.min("row").alias("row")).join(nodes, "node")
+        sets = materialize(_wanted_sets(docs, materialize(rows, "rows"), k), "sets")
+
+        links = materialize(_verify(stars, sets, percent), "links")
+        found = components(links)
+
+        # What is left: pairs in one bucket whose components differ. In large buckets other members become hubs in turn.
+        # Then each node goes to one of its large buckets, the one with the smallest key, and only pairs that would join
+        # components are tried there, as large buckets of near copies would bring up the same pairs again and again.
+        # At last all buckets are gone through.
+        tried, open_ = stars, _open_buckets(shared, found)
+        for turn in range(TURNS + 1):
+            large = open_.where(F.col("members") > FEW)
+            if large.isEmpty():
+                break
+            if turn < TURNS:
+                more = _stars(large, turn)
+            else:
+                once = large.groupBy("node").agg(F.min(F.struct("key", "part", "members")).alias("b")).select("node", "b.*")
+                more = _close_pairs(once, sets, percent, forest=True).distinct()
+            more = materialize(more.join(tried, ["a", "b"], "left_anti"), "more")
+            tried, links = tried.union(more), materialize(links.union(_verify(more, sets, percent)), "links")
+            open_ = _open_buckets(open_, components(links))
+        few = open_.where(F.col("members") <= FEW)
+        left, right = (few.select("key", F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+        rest = left.join(right, "key").where("a < b and part_a <> part_b").select("a", "b")
+        rest = rest.union(_close_pairs(open_.where(F.col("members") > FEW), sets, percent)).distinct()
+        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+        found = components(links.union(_verify(rest, sets, percent)))
+
+        rows = sketched.select("row", "doc_id", "n_shingles", "node")
+        full = rows.where("node is not null").join(found, "node", "left")
+        full = full.select("row", "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
+        return materialize(full.union(rows.where("node is null").select("row", "doc_id", "n_shingles", "node", F.lit(None).cast("long").alias("root"))), "classes")
 
 
 def component_ids(classed: DataFrame) -> DataFrame:
