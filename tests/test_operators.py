@@ -141,3 +141,33 @@ def test_stored_rows_have_defaults(spark):
     assert len(r) == 37 and r["root_trace_id"] == "t" and r["mode"] == "warn" and r["retention_days"] == 36500 and r["injection_detected"] == 0 and r["secret_types"] == [] and r["security_risk_level"] == "clean"
     m = tables.failure_rows(spark.createDataFrame([("o", "t")], "organization_id string, trace_id string")).first()
     assert m.extra.scan_failed and m.security_risk_score == 0.0
+
+
+def test_history_keeps_the_newest_scans_of_others(spark):
+    """Sessions with many scans, some traces scanned again and again: against a plain restatement."""
+    import random
+
+    from traceguard.operators import traces as T
+
+    rng = random.Random(4)
+    rows = [("o", f"r{rng.randrange(3)}", f"t{rng.choice((1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9))}", i, float(rng.randrange(100))) for i in range(400)]
+    scans = spark.createDataFrame([(o, r, t, s, at) for o, r, t, at, s in rows], "organization_id string, root_trace_id string, trace_id string, security_risk_score double, ingested_at int")
+    current = spark.createDataFrame([("o", f"r{r}", f"t{t}") for r in range(4) for t in range(12)], "organization_id string, root_trace_id string, trace_id string")
+    got = {(r.root_trace_id, r.trace_id): r.history for r in T.session_history(current, scans, 5).collect()}
+    assert len(got) == 48
+    for (root, trace), history in got.items():
+        past = sorted((at, t, s) for _, r, t, at, s in rows if r == root and t != trace)
+        assert history == [s for _, _, s in past[-5:]]
+
+
+def test_ancestors_without_a_scan_are_passed_over(spark):
+    from traceguard.operators import traces as T
+
+    line = [("o", "r", f"n{i:02}", "llm", f"n{i - 1:02}" if i else None, "{}") for i in range(16)]
+    line += [("o", "r", "a", "llm", "b", "{}"), ("o", "r", "b", "llm", "a", "{}"), ("o", "r", "c", "llm", "tool", "{}"), ("o", "r", "tool", "tool", "n03", "{}")]
+    traces = spark.createDataFrame(line, "organization_id string, root_trace_id string, trace_id string, type string, parent_id string, event string")
+    scored = [("o", "r", f"n{i:02}", i / 100, i) for i in range(16) if i % 7 != 3] + [("o", "r", "tool", 0.5, 1), ("o", "r", "b", 0.7, 1), ("o", "r", "a", 0.6, 1)]
+    scans = spark.createDataFrame(scored, "organization_id string, root_trace_id string, trace_id string, security_risk_score double, ingested_at int")
+    got = {r.trace_id: r.chain for r in T.chain_scores(traces, traces, scans).collect()}
+    assert got["n15"] == [i / 100 for i in range(3, 15) if i % 7 != 3] and got["n05"] == [0.0, 0.01, 0.02, 0.04]
+    assert got["n00"] == [] and got["c"] == [0.5] and got["a"] == [0.6, 0.7]

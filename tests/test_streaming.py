@@ -46,6 +46,45 @@ def test_stream_of_jobs(spark, tmp_path):
     assert [d[0] for d in dead] == ["malformed", "malformed", "unknown"]
 
 
+def test_failing_messages_leave_markers_and_are_let_through(spark, tmp_path, monkeypatch):
+    """One job and one request fail on their values; the rest of the batch is worked on."""
+    explode = lambda df, c: df.where(F.when(F.col(c).contains("boom"), F.raise_error(F.lit("boom")).cast("boolean")).otherwise(True))
+    scan, check, gate = jobs.scan_texts, jobs.sync_check, jobs.response_gate
+    monkeypatch.setattr(jobs, "scan_texts", lambda x, *a: scan(explode(x, "prompt"), *a))
+    monkeypatch.setattr(jobs, "sync_check", lambda x, *a: check(explode(x, "prompt"), *a))
+    monkeypatch.setattr(jobs, "response_gate", lambda x, *a: gate(explode(x, "response"), *a))
+    more = [
+        {"organization_id": "o", "trace_id": "bad", "api_key_prefix": "k", "retention_days": 9, "event": {"input": "boom", "root_trace_id": "r9"}},
+        {"operation": "security_check_sync", "correlation_id": "c9", "org_id": "o", "prompt": "boom jailbreak"},
+        {"operation": "response_gate_check", "correlation_id": "g9", "response": "boom a@b.cd"},
+    ]
+    traces, scans = stored(spark)
+    batch = spark.createDataFrame([(json.dumps(m),) for m in [*MESSAGES, *more]], "value string").repartition(3)
+    jobs.process_batch(batch, 0, lambda: traces, lambda: scans, jobs.parquet_sink(str(tmp_path)))
+    rows = {r.trace_id: r for r in spark.read.parquet(f"{tmp_path}/scans").collect()}
+    assert sorted(rows) == ["bad", "t1", "t2"] and rows["t1"].security_risk_level == "high" and rows["t1"].scan_latency > 0
+    bad = rows["bad"]
+    assert bad.extra.scan_failed and (bad.security_risk_level, bad.security_risk_score, bad.root_trace_id, bad.retention_days, bad.api_key_prefix) == ("clean", 0.0, "r9", 9, "k")
+    assert {json.loads(r.value)["trace_id"] for r in spark.read.parquet(f"{tmp_path}/notifications").collect()} == {"t1", "t2"}
+    check = {json.loads(r.value)["correlation_id"]: json.loads(r.value)["result"] for r in spark.read.parquet(f"{tmp_path}/check_replies").collect()}
+    assert check["c1"]["allow"] is False and check["c9"] == {"allow": True, "block_reason": None, "risk_level": "clean", "attack_types": []}
+    gate = {json.loads(r.value)["correlation_id"]: json.loads(r.value)["result"] for r in spark.read.parquet(f"{tmp_path}/gate_replies").collect()}
+    assert set(gate) == {"c2", "g9"} and gate["g9"]["response_blocked"] is False
+
+
+def test_other_faults_end_the_batch(spark, tmp_path):
+    import pytest
+
+    traces, scans = stored(spark)
+    batch = spark.createDataFrame([(json.dumps(m),) for m in MESSAGES], "value string")
+
+    def missing():
+        raise OSError("the store is away")
+
+    with pytest.raises(OSError):
+        jobs.process_batch(batch, 0, missing, lambda: scans, jobs.parquet_sink(str(tmp_path)))
+
+
 def test_stream_equals_batch(spark):
     from traceguard.plans import catalog, derived
 
@@ -85,6 +124,83 @@ def test_models_can_be_plugged_in(spark):
     assert [r.s for r in df.select(providers.scores(F.col("t"), factory).alias("s")).collect()] == [3.0, 0.0, 0.0]
     assert [r.s for r in df.select(providers.scores(F.col("t"), broken).alias("s")).collect()] == [0.0, 0.0, 0.0]
 
+    def touchy():
+        def score(texts):
+            if "bad" in texts:
+                raise ValueError("bad")
+            return [2.0] * len(texts)
+
+        return score
+
+    rows = spark.createDataFrame([("good",), ("bad",), ("fine",)], "t string").coalesce(1)
+    assert [r.s for r in rows.select(providers.scores(F.col("t"), touchy).alias("s")).collect()] == [2.0, 0.0, 2.0]
+    for value in (1.0, 2.0, 3.0):  # each a provider of its own, whatever becomes of the one before
+        got = rows.select(providers.scores(F.col("t"), (lambda v: lambda: lambda texts: [v] * len(texts))(value)).alias("s")).collect()
+        assert {r.s for r in got} == {value}
+
+
+PNG = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR"
+
+
+def test_images_are_fetched_and_read_within_limits(spark):
+    import base64
+    import struct
+
+    from traceguard import providers
+    from traceguard.operators import events
+
+    small, huge = (PNG + struct.pack(">II", *size) + b"text" for size in ((10, 10), (10_000, 10_000)))
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 30, 20)
+    assert (providers.pixels(small), providers.pixels(huge), providers.pixels(jpeg), providers.pixels(b"?")) == (100, 10**8, 600, 0)
+
+    def fetcher(url):
+        if "broken" in url:
+            raise OSError("no answer")
+        return {"http://8.8.8.8/a.png": small, "http://8.8.8.8/b.png": huge, "http://8.8.8.8/c.png": b"x" * (8 * 1024 * 1024 + 1)}.get(url)
+
+    def reader():
+        def read(images):
+            if any(b"slow" in x for x in images):
+                import time
+
+                time.sleep(0.3)
+            return [f"read {len(x)}" for x in images]
+
+        return read
+
+    def event(*parts):
+        return json.dumps({"messages": [{"role": "user", "content": list(parts)}]})
+
+    data = lambda b: {"inline_data": {"data": base64.b64encode(b).decode(), "mime_type": "image/png"}}
+    link = lambda u: {"image_url": {"url": u}}
+    rows = [(1, event(link("http://8.8.8.8/a.png"), data(small), link("http://8.8.8.8/b.png"), data(huge), link("http://8.8.8.8/c.png"))), (2, event(link("http://10.0.0.1/a.png"), link("http://8.8.8.8/broken"), data(b"inline"))), (3, event(data(b"slow"), data(b"quick")))]
+    x = spark.createDataFrame(rows, "id long, event string").select("id", events.images(F.try_parse_json("event")).alias("images"))
+    texts = lambda get: events.labelled_texts(providers.ocr_texts(events.inline_bytes(F.col("images")), reader, events.public_urls(F.col("images")), get, lambda host, port: True, seconds=0.2))
+    got = {r.id: [(t.label, t.text) for t in r.t] for r in x.select("id", texts(fetcher).alias("t")).collect()}
+    n = f"read {len(small)}"
+    assert got == {1: [("image[0]", n), ("image[1]", n)], 2: [("image[2]", "read 6")], 3: []}
+    got = {r.id: [(t.label, t.text) for t in r.t] for r in x.select("id", texts(None).alias("t")).collect()}
+    assert got[1] == [("image[1]", n)]
+    assert providers.fetch_image("http://127.0.0.1/x", lambda url: b"x") is None and providers.fetch_image("ftp://8.8.8.8/x", lambda url: b"x") is None
+
+
+def test_names_and_places_come_from_a_provider(spark):
+    from traceguard.plans.post_call import Models, post_call
+
+    def factory():
+        def find(texts):
+            return [[("PERSON", t.index("Ada"), t.index("Ada") + 3, 0.85)] if "Ada" in t else [("LOCATION", 0, 1, 0.1)] for t in texts]
+
+        return find
+
+    traces, scans = stored(spark)
+    traces = traces.union(spark.createDataFrame([("o", "r", "u", "tool", None, '{"name": "ls", "arguments": "ask Ada"}')], traces.schema))
+    values = [json.dumps({"organization_id": "o", "trace_id": t, "pii_ignore": ignore, "event": {"input": "I am Ada", "output": "hello", "root_trace_id": "r"}}) for t, ignore in (("t", []), ("u2", ["PERSON"]))]
+    routed = kafka.route(kafka.decode(spark.createDataFrame([(v,) for v in values], "value string")))
+    got = {r.trace_id: r for r in post_call(jobs.scan_jobs(routed), traces, scans, Models(entities=factory)).collect()}
+    assert got["t"].pii_entities_prompt == ["PERSON"] and got["t"].prompt_redacted == "I am <PERSON>" and got["t"].pii_entities_response == []
+    assert got["t"].tool_exfiltration_types == ["PERSON"] and got["u2"].pii_entities_prompt == [] and got["u2"].tool_exfiltration_types == []
+
 
 def test_encoders_score_prompts_and_tree_texts(spark):
     from traceguard.functions import phrases

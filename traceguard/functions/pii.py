@@ -4,7 +4,8 @@ Spans come from built-in functions alone. ``regexp_extract_all`` gives the match
 expression the text between them, so running sums of lengths are the positions; both run only on texts that the
 expression matches at all.
 
-Names and places need a language model (``providers.EntityProvider``); without one none are found.
+Names and places need a language model (``providers.EntityProvider``); without one none are found. Its spans come in
+as ``more`` and go through the same filters.
 """
 
 from __future__ import annotations

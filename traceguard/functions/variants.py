@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FALSE = ("null", "false", "0", "0.0", '""', "[]", "{}")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it stands there.
+
+    Expressions that repeat their argument and are nested grow by a power of their depth; a bound variable doesn't.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parse(json: Column) -> Column:
     """A VARIANT, null for malformed JSON."""
     return F.try_parse_json(json)
@@ -31,25 +41,25 @@ def truthy(value: Column) -> Column:
 
 def first_true(*values: Column) -> Column:
     """The first of the values that is truthy; null without one."""
-    return F.coalesce(*(F.when(truthy(v), v) for v in values))
+    return F.coalesce(*(let(v, lambda x: F.when(truthy(x), x)) for v in values))
 
 
 def text(value: Column) -> Column:
     """A string as it is, anything else as JSON; null for missing values and null."""
-    return F.when(kind(value) == "n", F.lit(None).cast("string")).otherwise(F.when(kind(value) == '"', F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value)))
+    return let(value, lambda v: F.when(kind(v) == "n", F.lit(None).cast("string")).otherwise(F.when(kind(v) == '"', F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))))
 
 
 def string(value: Column) -> Column:
     """The value if it is a string, else null."""
-    return F.when(kind(value) == '"', F.try_variant_get(value, "$", "string"))
+    return let(value, lambda v: F.when(kind(v) == '"', F.try_variant_get(v, "$", "string")))
 
 
 def items(value: Column) -> Column:
     """The members of an array; null for other values."""
-    return F.when(kind(value) == "[", F.try_variant_get(value, "$", "array<variant>"))
+    return let(value, lambda v: F.when(kind(v) == "[", F.try_variant_get(v, "$", "array<variant>")))
 
 
 def maybe_json(value: Column) -> Column:
     """A string that holds a JSON array or object, parsed; other values as they are."""
-    s = string(value)
-    return F.coalesce(F.when(s.rlike(r"^\s*[\[{]"), F.try_parse_json(s)), value)
+    parsed = lambda v: let(string(v), lambda s: F.when(s.rlike(r"^\s*[\[{]"), F.try_parse_json(s)))
+    return let(value, lambda v: F.coalesce(parsed(v), v))

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from traceguard.functions import variants as V
+from traceguard.functions.urls import is_public_url
+from traceguard.providers import MOST_IMAGE_BYTES
 
 # Roles whose messages are not scanned; images read of one event.
 UNSCANNED_ROLES = ("system", "developer")
@@ -26,36 +28,47 @@ def collected_messages(attributes: Column, base: str) -> Column:
     entries = F.map_entries(F.try_variant_get(attributes, "$", "map<string,variant>"))
     pattern = f"^{base.replace('.', '[.]')}[.]([0-9]+)(?:[.](.*))?$"
     found = F.filter(F.transform(entries, lambda e: F.struct(F.regexp_extract(e["key"], pattern, 1).alias("n"), F.regexp_extract(e["key"], pattern, 2).alias("tail"), e["value"].alias("value"))), lambda x: x["n"] != "")
-    order = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["n"].cast("long"))))
-    value = lambda n, tail: F.get(F.transform(F.filter(found, lambda x: (x["n"].cast("long") == n) & (x["tail"] == tail)), lambda x: x["value"]), 0)
-    return F.transform(order, lambda n: F.struct(V.text(value(n, "message.role")).alias("role"), value(n, "message.content").alias("content")))
+
+    def gathered(found):
+        order = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["n"].cast("long"))))
+        value = lambda n, tail: F.get(F.transform(F.filter(found, lambda x: (x["n"].cast("long") == n) & (x["tail"] == tail)), lambda x: x["value"]), 0)
+        return F.transform(order, lambda n: F.struct(V.text(value(n, "message.role")).alias("role"), value(n, "message.content").alias("content")))
+
+    return V.let(found, gathered)
 
 
 def native_messages(event: Column) -> Column:
     """Messages of messages, contents or input: an array of (role, content); a string is one message without a role."""
     source = V.first_true(V.at(event, "messages"), V.at(event, "contents"), V.at(event, "input"))
-    objects = F.filter(V.items(source), lambda m: V.kind(m) == "{")
-    listed = F.transform(objects, lambda m: F.struct(V.text(V.at(m, "role")).alias("role"), V.at(m, "content").alias("content")))
-    one = F.array(F.struct(F.lit(None).cast("string").alias("role"), source.alias("content")))
-    return F.coalesce(F.when(V.kind(source) == '"', one), listed, F.expr(f"cast(array() as {MESSAGES})"))
+
+    def read(source):
+        objects = F.filter(V.items(source), lambda m: V.kind(m) == "{")
+        listed = F.transform(objects, lambda m: F.struct(V.text(V.at(m, "role")).alias("role"), V.at(m, "content").alias("content")))
+        one = F.array(F.struct(F.lit(None).cast("string").alias("role"), source.alias("content")))
+        return F.coalesce(F.when(V.kind(source) == '"', one), listed, F.expr(f"cast(array() as {MESSAGES})"))
+
+    return V.let(source, read)
 
 
 def span_messages(attributes: Column) -> Column:
     """Input messages of a foreign span; else the messages that input.value lists; else it is one user message."""
-    collected = collected_messages(attributes, "llm.input_messages")
+
+    def read(parsed):
+        listed = F.transform(F.filter(V.items(parsed), lambda m: V.kind(m) == "{"), lambda m: F.struct(V.text(V.at(m, "role")).alias("role"), V.at(m, "content").alias("content")))
+        one = F.array(F.struct(F.lit("user").alias("role"), F.try_parse_json(F.to_json(F.struct(V.text(parsed).alias("v")))).alias("content")))
+        one = F.transform(one, lambda m: F.struct(m["role"].alias("role"), V.at(m["content"], "v").alias("content")))
+        return F.coalesce(listed, one)
+
     value = V.at(attributes, "input.value")
-    parsed = V.maybe_json(value)
-    listed = F.transform(F.filter(V.items(parsed), lambda m: V.kind(m) == "{"), lambda m: F.struct(V.text(V.at(m, "role")).alias("role"), V.at(m, "content").alias("content")))
-    one = F.array(F.struct(F.lit("user").alias("role"), F.try_parse_json(F.to_json(F.struct(V.text(parsed).alias("v")))).alias("content")))
-    one = F.transform(one, lambda m: F.struct(m["role"].alias("role"), V.at(m["content"], "v").alias("content")))
     given = value.isNotNull() & (V.kind(value) != "n")
-    return F.when(F.size(collected) > 0, collected).when(given, F.coalesce(listed, one)).otherwise(F.expr(f"cast(array() as {MESSAGES})"))
+    other = F.when(given, V.let(V.maybe_json(value), read)).otherwise(F.expr(f"cast(array() as {MESSAGES})"))
+    return V.let(collected_messages(attributes, "llm.input_messages"), lambda c: F.when(F.size(c) > 0, c).otherwise(other))
 
 
 def span_response(attributes: Column) -> Column:
     """output.value, else the content of the last output message; null without either."""
     value = V.at(attributes, "output.value")
-    last = F.element_at(F.when(F.size(collected_messages(attributes, "llm.output_messages")) > 0, collected_messages(attributes, "llm.output_messages")), -1)["content"]
+    last = V.let(collected_messages(attributes, "llm.output_messages"), lambda c: F.element_at(F.when(F.size(c) > 0, c), -1)["content"])
     return V.text(F.when(value.isNotNull() & (V.kind(value) != "n"), value).otherwise(last))
 
 
@@ -77,8 +90,8 @@ def span_tool_call(event: Column) -> Column:
 def content_text(content: Column) -> Column:
     """A string; the texts of a list's parts joined by a space; anything else as text."""
     part = lambda p: F.coalesce(V.string(p), V.string(V.first_true(V.at(p, "text"), V.at(p, "content"), V.at(p, "input_text"))))
-    joined = F.array_join(F.filter(F.transform(V.items(content), part), lambda t: t.isNotNull()), " ")
-    return F.coalesce(V.string(content), joined, F.when(V.truthy(content), V.text(content)), F.lit(""))
+    joined = lambda c: F.array_join(F.filter(F.transform(V.items(c), part), lambda t: t.isNotNull()), " ")
+    return V.let(content, lambda c: F.coalesce(V.string(c), joined(c), F.when(V.truthy(c), V.text(c)), F.lit("")))
 
 
 def prompt_of(messages: Column) -> Column:
@@ -89,18 +102,21 @@ def prompt_of(messages: Column) -> Column:
 
 def response_of(event: Column) -> Column:
     """response or output as text: a list's truthy items one a line, an object's content or the object itself."""
-    raw = V.first_true(V.at(event, "response"), V.at(event, "output"))
-    lines = F.array_join(F.transform(F.filter(V.items(raw), V.truthy), V.text), "\n")
-    content = F.when((V.kind(raw) == "{") & V.truthy(V.at(raw, "content")), V.text(V.at(raw, "content")))
-    return F.coalesce(V.string(raw), lines, content, V.text(raw), F.lit(""))
+
+    def read(raw):
+        lines = F.array_join(F.transform(F.filter(V.items(raw), V.truthy), V.text), "\n")
+        content = F.when((V.kind(raw) == "{") & V.truthy(V.at(raw, "content")), V.text(V.at(raw, "content")))
+        return F.coalesce(V.string(raw), lines, content, V.text(raw), F.lit(""))
+
+    return V.let(V.first_true(V.at(event, "response"), V.at(event, "output")), read)
 
 
 def prompt_and_response(event: Column) -> tuple[Column, Column]:
     """Of native events and foreign spans."""
     attributes = V.at(event, "attributes")
     foreign = is_openinference(event)
-    filled = span_messages(attributes)
-    prompt = F.when(foreign & (F.size(filled) > 0), prompt_of(filled)).otherwise(prompt_of(native_messages(event)))
+    filled = V.let(F.when(foreign, span_messages(attributes)), lambda f: F.when(F.size(f) > 0, prompt_of(f)))
+    prompt = F.coalesce(filled, prompt_of(native_messages(event)))
     answer = F.when(foreign, F.coalesce(span_response(attributes), response_of(event))).otherwise(response_of(event))
     return prompt, answer
 
@@ -115,21 +131,28 @@ def image_of(part: Column) -> Column:
 
     A media reference decides alone; then come image_url, source, and inline data.
     """
-    ref = V.at(part, "_media_ref")
     item = lambda url, data, mime: F.struct(url.cast("string").alias("url"), data.cast("string").alias("data"), mime.cast("string").alias("mime"))
-    none = F.lit(None)
-    mime = V.text(V.at(ref, "mime"))
-    media = F.when((V.string(V.at(ref, "kind")) == "image") & V.truthy(V.at(ref, "data")), item(none, V.text(V.at(ref, "data")), mime))
-    media = media.when((V.string(V.at(ref, "kind")) == "image") & (V.string(V.at(ref, "source")) == "url") & V.truthy(V.at(ref, "url")), item(V.text(V.at(ref, "url")), none, mime))
-    link = V.at(part, "image_url")
-    url = F.when(V.truthy(V.at(link, "url")), V.text(V.at(link, "url"))).when(V.truthy(link), V.string(link))
-    source = V.at(part, "source")
-    inline = V.first_true(V.at(part, "inline_data"), V.at(part, "inlineData"))
-    other = F.when(url.isNotNull(), item(url, none, none))
-    other = other.when((V.kind(source) == "{") & V.truthy(V.at(source, "url")), item(V.text(V.at(source, "url")), none, V.text(V.at(source, "media_type"))))
-    other = other.when((V.kind(source) == "{") & V.truthy(V.at(source, "data")), item(none, V.text(V.at(source, "data")), V.text(V.at(source, "media_type"))))
-    other = other.when((V.kind(inline) == "{") & V.truthy(V.at(inline, "data")), item(none, V.text(V.at(inline, "data")), V.text(V.first_true(V.at(inline, "mime_type"), V.at(inline, "mimeType")))))
-    return F.when(V.kind(ref) == "{", media).otherwise(other)
+    none, text = F.lit(None), lambda value, *names: V.text(V.first_true(*(V.at(value, n) for n in names)))
+
+    def media(ref):
+        shown = V.string(V.at(ref, "kind")) == "image"
+        held = F.when(shown & V.truthy(V.at(ref, "data")), item(none, V.text(V.at(ref, "data")), V.text(V.at(ref, "mime"))))
+        return held.when(shown & (V.string(V.at(ref, "source")) == "url") & V.truthy(V.at(ref, "url")), item(V.text(V.at(ref, "url")), none, V.text(V.at(ref, "mime"))))
+
+    def linked(link):
+        url = F.when(V.truthy(V.at(link, "url")), V.text(V.at(link, "url"))).when(V.truthy(link), V.string(link))
+        return V.let(url, lambda u: F.when(u.isNotNull(), item(u, none, none)))
+
+    def sourced(source):
+        given = V.kind(source) == "{"
+        out = F.when(given & V.truthy(V.at(source, "url")), item(V.text(V.at(source, "url")), none, V.text(V.at(source, "media_type"))))
+        return out.when(given & V.truthy(V.at(source, "data")), item(none, V.text(V.at(source, "data")), V.text(V.at(source, "media_type"))))
+
+    def inlined(inline):
+        return F.when((V.kind(inline) == "{") & V.truthy(V.at(inline, "data")), item(none, V.text(V.at(inline, "data")), text(inline, "mime_type", "mimeType")))
+
+    other = F.coalesce(V.let(V.at(part, "image_url"), linked), V.let(V.at(part, "source"), sourced), V.let(V.first_true(V.at(part, "inline_data"), V.at(part, "inlineData")), inlined))
+    return V.let(V.at(part, "_media_ref"), lambda ref: F.when(V.kind(ref) == "{", media(ref)).otherwise(other))
 
 
 def images(event: Column) -> Column:
@@ -142,8 +165,14 @@ def images(event: Column) -> Column:
 
 
 def inline_bytes(images_: Column) -> Column:
-    """Decoded inline data of images; null where there is none or it is malformed."""
-    return F.transform(images_, lambda i: F.try_to_binary(i["data"], F.lit("base64")))
+    """Decoded inline data of images; null where there is none, or it is malformed or too large."""
+    decoded = F.transform(images_, lambda i: F.try_to_binary(i["data"], F.lit("base64")))
+    return F.transform(decoded, lambda b: F.when(F.octet_length(b) <= MOST_IMAGE_BYTES, b))
+
+
+def public_urls(images_: Column) -> Column:
+    """URLs of images without inline data, as far as their text shows that they may be fetched; null for others."""
+    return F.transform(images_, lambda i: F.when(i["data"].isNull() & is_public_url(i["url"]), i["url"]))
 
 
 def labelled_texts(texts: Column) -> Column:

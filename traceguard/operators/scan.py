@@ -34,6 +34,9 @@ SCAN_INPUT = {
     "classifier_score": "double",
     "tool_scores": "array<double>",
     "doc_scores": "array<double>",
+    "prompt_entities": pii.SPAN,
+    "response_entities": pii.SPAN,
+    "tool_entities": f"array<{pii.SPAN}>",
 }
 
 
@@ -88,11 +91,15 @@ def poisoned_docs(scores: Column) -> tuple[Column, Column]:
     return F.coalesce(F.array_compact(labels), F.expr(NONE)), F.coalesce(F.greatest(F.array_max(scores), F.lit(0.0)), F.lit(0.0))
 
 
-def exfiltration(inputs: Column, plain: Column, ignore: Column) -> Column:
-    """array<struct<found, types, label>>: personal data and secrets in what the agent sends to tools, where there are any."""
+def exfiltration(inputs: Column, plain: Column, ignore: Column, more: Column | None = None) -> Column:
+    """array<struct<found, types, label>>: personal data and secrets in what the agent sends to tools, where there are any.
+
+    ``more``: spans of names and places of each input.
+    """
     # Lambdas are interpreted, without common subexpressions: what is used twice is put into a struct first.
     def read(t, i):
-        return F.struct(pii.entities(pii.pii_spans(t, ignore)).alias("types"), secrets.parts(t).alias("raw"), secrets.parts(fold(F.get(plain, i))).alias("hidden"))
+        named = None if more is None else F.coalesce(F.get(more, i), F.expr(f"cast(array() as {pii.SPAN})"))
+        return F.struct(pii.entities(pii.pii_spans(t, ignore, more=named)).alias("types"), secrets.parts(t).alias("raw"), secrets.parts(fold(F.get(plain, i))).alias("hidden"))
 
     def one(x, i):
         types = F.array_union(F.array_union(x["types"], x["raw"]["types"]), x["hidden"]["types"])
@@ -169,13 +176,14 @@ def scan(df: DataFrame, config: ScanConfig = DEFAULT) -> DataFrame:
     x = x.withColumns({"prompt": F.coalesce(cap(F.col("prompt")), F.lit("")), "response": F.coalesce(cap(F.col("response")), F.lit("")), **{c: F.transform(c, lambda t: cap(t)) for c in lists}})
     x = normalized_arrays(x, tuple(lists)) if lists else x
     texts = (("prompt", "p"), ("response", "r"))
-    x = x.withColumns({f"spans_{k}": pii.pii_spans(F.col(c), F.col("pii_ignore")) if c in given else F.expr(f"cast(array() as {pii.SPAN})") for c, k in texts})
+    named = lambda c: F.coalesce(f"{c}_entities", F.expr(f"cast(array() as {pii.SPAN})")) if f"{c}_entities" in given else None
+    x = x.withColumns({f"spans_{k}": pii.pii_spans(F.col(c), F.col("pii_ignore"), more=named(c)) if c in given else F.expr(f"cast(array() as {pii.SPAN})") for c, k in texts})
     clean = F.struct(none.alias("entities"), F.lit(0.0).alias("score"), F.lit(0).alias("level"), F.lit("").alias("redacted"))
     safe = F.struct(F.lit(False).alias("detected"), none.alias("types"), F.lit(0).alias("level"))
     x = x.withColumns({f"pii_{k}": pii.pii_result(F.col(c), F.col(f"spans_{k}")) if c in given else clean for c, k in texts})
     x = semantic(attack_tiers(x, F.col("prompt")) if "prompt" in given else x.withColumns({f.name: patterns.grade(none, none) for f in patterns.FAMILIES}), config)
     rag, rag_max = poisoned_docs(F.col("doc_scores")) if "doc_scores" in given else (none, F.lit(0.0))
-    x = x.withColumn("exfil_hits", exfiltration(F.col("tool_inputs"), F.col("tool_inputs_plain"), F.col("pii_ignore")) if "tool_inputs" in given else F.expr(f"cast(array() as {HITS})"))
+    x = x.withColumn("exfil_hits", exfiltration(F.col("tool_inputs"), F.col("tool_inputs_plain"), F.col("pii_ignore"), F.col("tool_entities") if "tool_entities" in given else None) if "tool_inputs" in given else F.expr(f"cast(array() as {HITS})"))
     indirect = [indirect_sources(F.col("tool_outputs_plain"), "tool_output", F.col("tool_scores"))] if "tool_outputs" in given else []
     indirect += [indirect_sources(F.col("context_docs_plain"), "context_doc")] if "context_docs" in given else []
     x = x.withColumns({

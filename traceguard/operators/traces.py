@@ -3,7 +3,7 @@
 Traces: organization_id, root_trace_id, trace_id, type, parent_id, event (JSON). Scans: organization_id,
 root_trace_id, trace_id, security_risk_score, ingested_at. All joins are equi-joins on organisation and root, so
 tables bucketed or partitioned on those need no shuffle; every per-group limit is a ranked window, which Spark
-applies before the shuffle as well.
+applies before the shuffle as well, and what is left of a tree or session is gathered into one row before it is joined.
 """
 
 from __future__ import annotations
@@ -40,29 +40,30 @@ def sibling_texts(traces: DataFrame) -> DataFrame:
     )
 
 
-def sibling_sources(current: DataFrame, traces: DataFrame, limit: int = MOST_SIBLINGS) -> DataFrame:
-    """(KEY, trace_id) of ``current`` with TEXTS: arrays from the first ``limit`` siblings by trace_id, itself left out.
+def gathered_siblings(traces: DataFrame, limit: int = MOST_SIBLINGS) -> DataFrame:
+    """(KEY, siblings): the first limit + 1 traces of tools and stores of each tree.
 
-    A tree keeps its first limit + 1 siblings before the join: no more can be among the first ``limit`` of any
-    of its traces, so a large tree costs each of its traces a bounded number of rows.
+    No more can be among the first ``limit`` siblings of any of its traces, so a tree costs each of its traces a
+    bounded number of texts.
     """
     first = Window.partitionBy(*KEY).orderBy("trace_id")
     few = sibling_texts(traces).withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit + 1)
-    gathered = few.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("n", "trace_id", "tool_output", "docs", "tool_input", "tool_name"))).alias("siblings"))
-    joined = current.select(*KEY, "trace_id").join(gathered, KEY, "left")
-    others = F.slice(F.filter("siblings", lambda s: s["trace_id"] != F.col("trace_id")), 1, limit)
-    joined = joined.withColumn("siblings", others)
-    strings = lambda name: F.filter(F.transform("siblings", lambda s: s[name]), lambda t: t.isNotNull())
-    docs = F.flatten(F.filter(F.transform("siblings", lambda s: s["docs"]), lambda d: d.isNotNull()))
+    return few.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("n", "trace_id", "tool_output", "docs", "tool_input", "tool_name"))).alias("siblings"))
+
+
+def sibling_columns(siblings: Column, trace_id: Column, limit: int = MOST_SIBLINGS) -> dict[str, Column]:
+    """TEXTS: arrays from the first ``limit`` siblings by trace_id, the trace itself left out."""
+    others = F.slice(F.filter(siblings, lambda s: s["trace_id"] != trace_id), 1, limit)
     none = F.expr("cast(array() as array<string>)")
-    return joined.select(
-        *KEY,
-        "trace_id",
-        F.coalesce(strings("tool_output"), none).alias("tool_outputs"),
-        F.coalesce(docs, none).alias("context_docs"),
-        F.coalesce(strings("tool_input"), none).alias("tool_inputs"),
-        F.coalesce(strings("tool_name"), none).alias("tool_names"),
-    )
+    strings = lambda name: F.coalesce(F.filter(F.transform(others, lambda s: s[name]), lambda t: t.isNotNull()), none)
+    docs = F.flatten(F.filter(F.transform(others, lambda s: s["docs"]), lambda d: d.isNotNull()))
+    return {"tool_outputs": strings("tool_output"), "context_docs": F.coalesce(docs, none), "tool_inputs": strings("tool_input"), "tool_names": strings("tool_name")}
+
+
+def sibling_sources(current: DataFrame, traces: DataFrame, limit: int = MOST_SIBLINGS) -> DataFrame:
+    """(KEY, trace_id) of ``current`` with TEXTS."""
+    joined = current.select(*KEY, "trace_id").join(gathered_siblings(traces, limit), KEY, "left")
+    return joined.withColumns(sibling_columns(F.col("siblings"), F.col("trace_id"), limit)).drop("siblings")
 
 
 def parent_kinds(current: DataFrame, traces: DataFrame) -> DataFrame:
@@ -98,17 +99,34 @@ def latest_scores(scans: DataFrame) -> DataFrame:
     return scans.groupBy(*KEY, "trace_id").agg(best.alias("b")).select(*KEY, "trace_id", "b.security_risk_score", "b.ingested_at")
 
 
+def gathered_history(scans: DataFrame, limit: int = MOST_TURNS) -> DataFrame:
+    """(KEY, recent): the newest scans of each session, oldest first.
+
+    Of a trace no more than its newest ``limit`` scans can be in a history, and leaving out one trace leaves out no
+    more than that: the newest 2 * limit of what remains hold the history of every trace.
+    """
+    order = (F.desc("ingested_at"), F.desc("trace_id"), F.desc("security_risk_score"))
+    rows = scans.select(*KEY, "trace_id", "ingested_at", "security_risk_score")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*KEY, "trace_id").orderBy(*order))).where(F.col("n") <= limit)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))).where(F.col("n") <= 2 * limit)
+    return rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ingested_at", "trace_id", "security_risk_score"))).alias("recent"))
+
+
+def history_column(recent: Column, trace_id: Column, limit: int = MOST_TURNS) -> Column:
+    """Scores of the newest ``limit`` scans of other traces, oldest first."""
+    scores = F.transform(F.filter(recent, lambda r: r["trace_id"] != trace_id), lambda r: r["security_risk_score"])
+    newest = F.slice(scores, F.greatest(F.size(scores) - limit, F.lit(0)) + 1, limit)
+    return F.coalesce(newest, F.expr("cast(array() as array<double>)"))
+
+
 def session_history(current: DataFrame, scans: DataFrame, limit: int = MOST_TURNS) -> DataFrame:
     """(KEY, trace_id, history): scores of the newest ``limit`` scans of the session, oldest first.
 
-    All scans of the current trace are left out. This is the online form: it reads what has been ingested.
+    All scans of the current trace are left out. This is the online form: it reads what has been ingested. A session
+    keeps its newest scans before the join, so a trace meets one row.
     """
-    joined = current.select(*KEY, F.col("trace_id").alias("current_id")).join(scans, KEY, "left").where("trace_id is null or trace_id <> current_id")
-    newest = Window.partitionBy(*KEY, "current_id").orderBy(F.desc("ingested_at"), F.desc("trace_id"))
-    ranked = joined.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= limit)
-    past = ranked.groupBy(*KEY, F.col("current_id").alias("trace_id")).agg(F.array_sort(F.collect_list(F.when(F.col("trace_id").isNotNull(), F.struct("ingested_at", "trace_id", "security_risk_score")))).alias("rows"))
-    past = past.select(*KEY, "trace_id", F.transform("rows", lambda r: r["security_risk_score"]).alias("history"))
-    return current.select(*KEY, "trace_id").join(past, [*KEY, "trace_id"], "left").withColumn("history", F.coalesce("history", F.expr("cast(array() as array<double>)")))
+    joined = current.select(*KEY, "trace_id").join(gathered_history(scans, limit), KEY, "left")
+    return joined.withColumn("history", history_column(F.col("recent"), F.col("trace_id"), limit)).drop("recent")
 
 
 def backfilled_history(limit: int = MOST_TURNS) -> Column:

@@ -18,7 +18,7 @@ from traceguard.streaming.jobs import CHECK_RESULT, DETAILS, GATE_RESULT
 
 from . import derived as D
 from . import oracle as O
-from .post_call import post_call, trajectories
+from .post_call import post_call, texts, trajectories
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -155,11 +155,12 @@ def cap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", capped.alias("capped"), F.length(capped).cast("long").alias("n"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, 'e', 'e' || chr(7) || '  ' || chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')) AS plain
-FROM documents WHERE regexp_full_match(text, '(?s)[\x00-\x7F]*')""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), 'e', 'e' || chr(7) || '  ' || chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')) AS plain
+FROM documents""")
 def normalize_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.table(spark, sf_dir, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return docs.select("doc_id", F.trim(text.normalize_text(F.replace("text", F.lit("e"), F.lit("e\x07  \n")))).alias("plain"))
+    """All documents, what lies beyond ASCII written as question marks."""
+    ascii_ = F.regexp_replace("text", "[^\\x00-\\x7F]", "?")
+    return D.table(spark, sf_dir, "documents").select("doc_id", F.trim(text.normalize_text(F.replace(ascii_, F.lit("e"), F.lit("e\x07  \n")))).alias("plain"))
 
 
 @query()
@@ -481,9 +482,10 @@ def classifier_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A full scan of each prompt, its answer the document of the same number; what the tree adds stays out.
-_SCAN_SQL = f"""{NORMAL_SQL}, {LEVELS_SQL}, f AS MATERIALIZED (SELECT *, {O.entities('prompt')} AS types, {O.named_secrets('prompt')} AS named, {O.random_tokens('prompt')} AS tokens FROM ranked),
+_ROLL_SQL = f"""{LEVELS_SQL}, f AS MATERIALIZED (SELECT *, {O.entities('prompt')} AS types, {O.named_secrets('prompt')} AS named, {O.random_tokens('prompt')} AS tokens FROM ranked),
 full_ AS MATERIALIZED (SELECT *, {O.entity_score('types')} AS pscore, CASE WHEN len(named) > 0 THEN 1.0 WHEN len(tokens) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS sscore, CASE WHEN len(named) > 0 THEN 3 WHEN len(tokens) > 0 THEN 2 ELSE 0 END AS slevel FROM f),
 roll AS MATERIALIZED (SELECT *, greatest(il, jl, kl, {O.score_level('pscore')}, slevel) AS rank, greatest(pscore, sscore, {O.tier_score('is_', 'iw')}, {O.tier_score('js', 'jw')}, {O.tier_score('ks', 'kw')}) AS total FROM full_)"""
+_SCAN_SQL = f"{NORMAL_SQL}, {_ROLL_SQL}"
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,6 +506,47 @@ def risk_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("conv_id", risk.level_name(F.col("rank")).alias("worst"), "score", "blocked", "turns")
 
 
+#: What the tree, models and images add, by arithmetic on ids: each turn's prompt stands in one other place too.
+_TREE_SQL = f"""{NORMAL_SQL}, {LEVELS_SQL}, f AS MATERIALIZED (SELECT *, {O.entities('prompt')} AS types, {O.named_secrets('prompt')} AS named, {O.random_tokens('prompt')} AS tokens,
+  turn % 4 AS place, turn % 3 = 0 AS answered, conv_id % 2 = 0 AS cross_parent, (conv_id * 7 + turn * 11) % 60 / 100.0::DOUBLE AS i, (conv_id * 3 + turn * 5) % 60 / 100.0::DOUBLE AS j, (conv_id * 5 + turn * 17) % 80 / 100.0::DOUBLE AS near FROM ranked),
+t AS MATERIALIZED (SELECT *, {O.entity_score('types')} AS pscore, CASE WHEN len(named) > 0 THEN 1.0 WHEN len(tokens) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS sscore, CASE WHEN len(named) > 0 THEN 3 WHEN len(tokens) > 0 THEN 2 ELSE 0 END AS slevel,
+  (i >= 0.41 AND i >= j) OR j >= 0.46 AS sem, CASE WHEN i >= 0.41 AND i >= j THEN i WHEN j >= 0.46 THEN j ELSE greatest(i, j) END AS sem_score FROM f),
+u AS MATERIALIZED (SELECT *, (place = 0 AND (len(is_) + len(js) > 0 OR near >= 0.55)) OR (place = 1 AND len(is_) + len(js) > 0) AS indirect, place = 1 AND near >= 0.55 AS rag, place = 2 AND len(types) + len(named) + len(tokens) > 0 AS exfil,
+  conv_id % 4 = 0 AND role <> 'user' AS policy, place = 3 AND (len(is_) > 0 OR jl > 0 OR len(ks) > 0) AS image, cross_parent AND (il > 0 OR jl > 0 OR sem) AS crossed FROM t),
+tree AS MATERIALIZED (SELECT *, greatest(il, jl, kl, CASE WHEN indirect OR rag OR policy OR image OR crossed OR sem THEN 3 WHEN exfil THEN 2 ELSE 0 END, {O.score_level('pscore')}, slevel) AS rank,
+  greatest(pscore, sscore, {O.tier_score('is_', 'iw')}, {O.tier_score('js', 'jw')}, {O.tier_score('ks', 'kw')}, sem_score, CASE WHEN indirect OR policy OR image OR crossed THEN 1.0 ELSE 0.0 END, CASE WHEN rag THEN near ELSE 0.0 END, CASE WHEN exfil THEN 0.5 ELSE 0.0 END) AS total FROM u)"""
+
+
+@query(f"""WITH {_TREE_SQL} SELECT conv_id, turn, indirect AS indirect_injection_detected, CASE WHEN indirect THEN CASE place WHEN 0 THEN 'tool_output[0]' ELSE 'context_doc[0]' END ELSE '' END AS indirect_injection_sources,
+  rag AS rag_poisoning_detected, CASE WHEN place = 1 THEN near ELSE 0.0 END AS rag_poisoning_score, exfil AS tool_exfiltration_detected, CASE WHEN exfil THEN {O.join('list_sort(list_distinct(list_concat(types, named)))')} ELSE '' END AS tool_exfiltration_types,
+  policy AS tool_policy_violation_detected, CASE WHEN policy THEN role ELSE '' END AS tool_policy_violations, crossed AS cross_agent_injection_detected, image AS image_injection_detected, CASE WHEN image THEN 'image[0]' ELSE '' END AS image_injection_sources,
+  sem_score AS semantic_attack_score, CASE WHEN answered THEN {O.join('types')} ELSE '' END AS pii_entities_response, {O.level_name('rank')} AS security_risk_level, round(total, 4) AS security_risk_score, rank = 3 AS should_block FROM tree""")
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full scan with everything that a tree, models and images add, so that every term of the roll-up occurs."""
+    text_, none = F.col("prompt"), F.expr("cast(array() as array<string>)")
+    at = lambda k: F.when(F.col("turn") % 4 == k, F.array(text_)).otherwise(none)
+    share = lambda a, b, m: (F.col("conv_id") * a + F.col("turn") * b) % m / F.lit(100.0)
+    near = F.array(share(5, 17, 80))
+    x = D.prompts(spark, sf_dir).withColumns({
+        "tool_outputs": at(0),
+        "context_docs": at(1),
+        "tool_inputs": at(2),
+        "image_texts": F.when(F.col("turn") % 4 == 3, F.array(F.struct(F.lit("image[0]").alias("label"), text_.alias("text")))),
+        "tool_names": F.array("role"),
+        "allowed_tools": F.when(F.col("conv_id") % 4 == 0, F.array(F.lit(" User "))),
+        "cross_agent": F.col("conv_id") % 2 == 0,
+        "injection_score": share(7, 11, 60),
+        "jailbreak_score": share(3, 5, 60),
+        "tool_scores": F.when(F.col("turn") % 4 == 0, near),
+        "doc_scores": F.when(F.col("turn") % 4 == 1, near),
+        "response": F.when(F.col("turn") % 3 == 0, text_),
+    })
+    x = S.scan(x)
+    lists = ("indirect_injection_sources", "tool_exfiltration_types", "tool_policy_violations", "image_injection_sources", "pii_entities_response")
+    plain = ("indirect_injection_detected", "rag_poisoning_detected", "rag_poisoning_score", "tool_exfiltration_detected", "tool_policy_violation_detected", "cross_agent_injection_detected", "image_injection_detected", "semantic_attack_score", "security_risk_level", "security_risk_score", "should_block")
+    return x.select("conv_id", "turn", *plain, *map(joined, lists))
+
+
 _GATE_SQL = f"""{_SCAN_SQL}, g AS (SELECT *, list_filter([CASE WHEN il > 0 THEN 'prompt_injection' END, CASE WHEN jl > 0 THEN 'jailbreak' END, CASE WHEN kl > 0 THEN 'skeleton_key' END, CASE WHEN len(types) > 0 THEN 'pii_detected' END, CASE WHEN len(named) + len(tokens) > 0 THEN 'secrets_detected' END], lambda x: x IS NOT NULL) AS kinds FROM roll),
 d AS MATERIALIZED (SELECT *, CASE WHEN conv_id % 3 = 0 THEN list_filter(kinds, lambda k: k IN ('jailbreak', 'pii_detected')) ELSE kinds END AS counted FROM g),
 b AS MATERIALIZED (SELECT *, len(counted) > 0 AND (rank = 3 OR (rank = 2 AND turn % 2 = 0)) AS block FROM d)"""
@@ -519,6 +562,14 @@ def sync_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync_check(_asked(spark, sf_dir)).select("conv_id", "turn", "allow", "block_reason", "risk_level", joined("attack_types"))
 
 
+@query(f"""WITH {_GATE_SQL}, e AS (SELECT *, turn % 3 < 2 AS is_blank FROM b)
+SELECT conv_id, turn, is_blank OR NOT block AS allow, CASE WHEN block AND NOT is_blank THEN 'Blocked by traceguard: ' || array_to_string(counted, ', ') END AS block_reason, CASE WHEN is_blank THEN 'clean' ELSE {O.level_name('rank')} END AS risk_level, CASE WHEN is_blank THEN '' ELSE {O.join('kinds')} END AS attack_types FROM e""")
+def blank_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank prompts - white space of any kind, and none - are let through."""
+    blank = F.when(F.col("turn") % 3 == 0, F.lit(" \t\n\u2003 ")).when(F.col("turn") % 3 == 1, F.lit("")).otherwise(F.col("prompt"))
+    return sync_check(_asked(spark, sf_dir).withColumn("prompt", blank)).select("conv_id", "turn", "allow", "block_reason", "risk_level", joined("attack_types"))
+
+
 _RESPONSE_SQL = f"""{PII_SQL}, k AS MATERIALIZED (SELECT *, {O.named_secrets('text')} AS named, {O.random_tokens('text')} AS tokens FROM x),
 r AS MATERIALIZED (SELECT *, greatest({O.score_level('score')}, CASE WHEN len(named) > 0 THEN 3 WHEN len(tokens) > 0 THEN 2 ELSE 0 END) AS rank, greatest(score, CASE WHEN len(named) > 0 THEN 1.0 WHEN len(tokens) > 0 THEN 0.5 ELSE 0.0 END) AS total,
   array_to_string(list_filter([CASE WHEN len(types) > 0 THEN 'pii_in_response' END, CASE WHEN len(named) + len(tokens) > 0 THEN 'secrets_in_response' END], lambda x: x IS NOT NULL), ', ') AS kinds FROM k),
@@ -531,6 +582,48 @@ def response_gate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "response_blocked", "block_reason", "risk_level", F.array_join("attack_types", ", ").alias("attack_types"))
 
 
+@query(f"WITH {_RESPONSE_SQL} SELECT 'g' || doc_id AS key, block AS blocked, CASE WHEN block THEN 'Response blocked by traceguard: ' || kinds END AS reason, {O.level_name('rank')} AS level, false AS has_org FROM rb WHERE doc_id % 4 > 0")
+def gate_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the response gate; requests without a correlation id get none."""
+    asked = D.papers(spark, sf_dir).select(F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("g"), F.col("doc_id").cast("string"))).otherwise(F.lit("")).alias("correlation_id"), F.col("text").alias("response"))
+    x = kafka.replies(response_gate(asked), GATE_RESULT, False)
+    v = lambda path, kind: F.try_variant_get(F.parse_json("value"), path, kind)
+    return x.select("key", v("$.result.response_blocked", "boolean").alias("blocked"), v("$.result.block_reason", "string").alias("reason"), v("$.result.risk_level", "string").alias("level"), F.coalesce(v("$.org_id", "string").isNotNull(), F.lit(False)).alias("has_org"))
+
+
+@query("""WITH j AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN '' ELSE coalesce(text, '') END AS prompt, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS response, turn % 2 = 0 AS gated FROM conversations)
+SELECT conv_id || '-' || turn AS trace_id, CASE WHEN turn % 5 = 0 THEN conv_id || '-' || turn ELSE conv_id::VARCHAR END AS root_trace_id, prompt, CASE WHEN gated THEN '' ELSE response END AS response FROM j WHERE prompt <> '' OR response <> ''""")
+def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs without text are dropped; a response that was gated before is not scanned again; a trace without root is its own."""
+    c = D.table(spark, sf_dir, "conversations")
+    event = F.to_json(F.struct(F.when(F.col("turn") % 4 == 0, F.lit("")).otherwise(F.col("text")).alias("input"), F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.col("role")).alias("output"), F.when(F.col("turn") % 5 > 0, F.col("conv_id").cast("string")).alias("root_trace_id")))
+    jobs = c.select(F.lit("o").alias("organization_id"), F.concat_ws("-", "conv_id", "turn").alias("trace_id"), F.when(F.col("turn") % 2 == 0, F.lit(True)).alias("response_gated"), F.try_parse_json(event).alias("event"))
+    return texts(jobs).select("trace_id", "root_trace_id", "prompt", "response")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN octet_length(encode(text)) <= 8388608 THEN md5(text) END AS body FROM documents")
+def image_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline data of images, decoded; malformed data and images over the limit give nothing."""
+    data = F.when(F.col("doc_id") % 3 == 0, F.lit("not base64!")).otherwise(F.base64(F.encode("text", "UTF-8")))
+    image = F.array(F.struct(F.lit(None).cast("string").alias("url"), data.alias("data"), F.lit(None).cast("string").alias("mime")))
+    return D.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.get(events.inline_bytes(image), 0)).alias("body"))
+
+
+@query(f"""WITH {D.TRACES_SQL}, {D.SCANS_SQL}, s AS (SELECT organization_id, root_trace_id, count(*) AS scanned, max(security_risk_score) AS worst FROM scans GROUP BY ALL)
+SELECT organization_id, root_trace_id, count(*) AS traces, count(*) FILTER (type = 'llm') AS llm, count(parent_id) AS linked, any_value(scanned) AS scanned, any_value(worst) AS worst FROM traces LEFT JOIN s USING (organization_id, root_trace_id) GROUP BY ALL""")
+def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces stored as events alone and scans, written and read back: type and parent come from the event's JSON."""
+    import uuid
+
+    place = f"{D.shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    fields = F.to_json(F.struct("type", "parent_id"))
+    D.traces(spark, sf_dir).select("organization_id", "root_trace_id", "trace_id", fields.alias("event")).write.parquet(f"{place}/traces")
+    D.scans(spark, sf_dir).write.parquet(f"{place}/scans")
+    t = tables.read_traces(spark, f"{place}/traces").groupBy(*traces.KEY).agg(F.count("*").alias("traces"), F.count_if(F.col("type") == "llm").alias("llm"), F.count("parent_id").alias("linked"))
+    s = tables.read_scans(spark, f"{place}/scans").groupBy(*traces.KEY).agg(F.count("*").alias("scanned"), F.max("security_risk_score").alias("worst"))
+    return t.join(s, traces.KEY, "left")
+
+
 @query(f"""WITH {_SCAN_SQL} SELECT (conv_id % 5)::VARCHAR AS organization_id, '' AS api_key_prefix, conv_id || '-' || turn AS trace_id, conv_id || '-' || turn AS root_trace_id, 'warn' AS mode, CASE WHEN il > 0 THEN 1 ELSE 0 END::TINYINT AS injection_detected,
   {O.join('named')} AS secret_types, '' AS rag_poisoning_sources, {O.level_name('rank')} AS security_risk_level, total AS security_risk_score, CASE WHEN rank = 3 THEN 1 ELSE 0 END::TINYINT AS should_block, 36500 AS retention_days, 37 AS columns FROM roll""")
 def scan_row(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -567,13 +660,32 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.retained(s.withColumn("retention_days", F.col("retention_days").cast("int")), F.timestamp_seconds(F.lit(1_701_000_000))).select("trace_id")
 
 
-@query()
+_POST_SQL = f"""{_CHAIN_SQL}, p AS (SELECT t.trace_id, s.security_risk_score AS v, row_number() OVER (PARTITION BY t.trace_id ORDER BY s.ingested_at DESC, s.trace_id DESC) AS n
+  FROM traces t JOIN scans s ON s.organization_id = t.organization_id AND s.root_trace_id = t.root_trace_id AND s.trace_id <> t.trace_id WHERE t.type = 'llm'),
+past AS (SELECT trace_id, list(v ORDER BY n DESC) AS history FROM p WHERE n <= 19 GROUP BY trace_id),
+j AS (SELECT *, {D.plant_sql('output', 'trace_id::BIGINT')} AS prompt FROM traces WHERE type = 'llm'), n AS MATERIALIZED (SELECT organization_id, root_trace_id, trace_id, parent_id, prompt, {O.normalized('prompt')} AS t FROM j), {_ROLL_SQL},
+first_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY organization_id, root_trace_id ORDER BY trace_id) AS nth FROM traces WHERE type IN ('tool', 'function', 'vectorstore')),
+sib AS MATERIALIZED (SELECT organization_id, root_trace_id, trace_id, {O.normalized("coalesce(CASE WHEN type <> 'vectorstore' THEN output ELSE doc END, '')")} AS t, {O.entities("coalesce(input, '')")} AS sent FROM first_ WHERE nth <= 51),
+hit AS MATERIALIZED (SELECT *, len({O.strong('t', _INJ)}) + len({O.strong('t', _JB)}) > 0 AS bad FROM sib),
+beside AS (SELECT r.trace_id, h.bad, h.sent, row_number() OVER (PARTITION BY r.trace_id ORDER BY h.trace_id) AS k FROM roll r JOIN hit h ON h.organization_id = r.organization_id AND h.root_trace_id = r.root_trace_id AND h.trace_id <> r.trace_id),
+near AS (SELECT trace_id, bool_or(bad) AS indirect, list_sort(list_distinct(flatten(list(sent)))) AS sent FROM beside WHERE k <= 50 GROUP BY trace_id),
+w AS (SELECT r.*, coalesce(indirect, false) AS indirect, coalesce(sent, []) AS sent, coalesce(q.type = 'llm', false) AS from_llm, coalesce(history, []) AS history, e.chain
+  FROM roll r LEFT JOIN near USING (trace_id) LEFT JOIN past USING (trace_id) JOIN ended e ON e.trace_id = r.trace_id AND e.n = 1 LEFT JOIN traces q ON q.trace_id = r.parent_id AND q.organization_id = r.organization_id AND q.root_trace_id = r.root_trace_id),
+v AS MATERIALIZED (SELECT *, from_llm AND (il > 0 OR jl > 0) AS crossed FROM w),
+z AS MATERIALIZED (SELECT *, greatest(rank, CASE WHEN indirect OR crossed THEN 3 WHEN len(sent) > 0 THEN 2 ELSE 0 END) AS level, round(greatest(total, CASE WHEN indirect OR crossed THEN 1.0 WHEN len(sent) > 0 THEN 0.5 ELSE 0.0 END), 4) AS score FROM v),
+y AS MATERIALIZED (SELECT *, list_append(history, score) AS turns, list_append(chain, score) AS line FROM z), x AS MATERIALIZED (SELECT *, {O.slope('turns')} AS rise, {O.slope('line')} AS climb FROM y)"""
+
+
+@query(f"""WITH RECURSIVE {_POST_SQL} SELECT trace_id, root_trace_id, {O.level_name('level')} AS security_risk_level, score AS security_risk_score, level = 3 AS should_block, {O.join('sent')} AS tool_exfiltration_types, len(turns) AS session_turns, round(rise, 4) AS crescendo_score,
+  rise >= 0.3 AND len(turns) >= 3 AND score >= 0.25 AS crescendo_detected, len(line) AS agent_chain_depth, from_llm AND climb >= 0.3 AND len(line) >= 3 AND score >= 0.25 AS trust_boundary_escalation, round(climb, 4) AS escalation_score FROM x""")
 def post_call_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole plan over derived traces; parts of it have SQL above."""
+    """The whole plan over derived traces."""
     t, s = D.traces(spark, sf_dir), D.scans(spark, sf_dir)
-    jobs = t.where("type = 'llm'").select("organization_id", "trace_id", F.try_parse_json(F.to_json(F.struct(F.get_json_object("event", "$.output").alias("input"), "root_trace_id", "parent_id"))).alias("event"))
+    prompt = D.plant(F.get_json_object("event", "$.output"), F.col("trace_id").cast("long"))
+    jobs = t.where("type = 'llm'").select("organization_id", "trace_id", F.try_parse_json(F.to_json(F.struct(prompt.alias("input"), "root_trace_id", "parent_id"))).alias("event"))
     x = post_call(jobs, t, s)
-    return x.select("trace_id", "root_trace_id", "security_risk_level", "security_risk_score", "should_block", joined("tool_exfiltration_types"), "session_turns", "crescendo_score", "agent_chain_depth", "trust_boundary_escalation")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return x.select("trace_id", "root_trace_id", "security_risk_level", "security_risk_score", "should_block", joined("tool_exfiltration_types"), long("session_turns"), "crescendo_score", "crescendo_detected", long("agent_chain_depth"), "trust_boundary_escalation", "escalation_score")
 
 
 @query()

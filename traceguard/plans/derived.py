@@ -117,7 +117,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACES_SQL = """traces AS (
   SELECT (conv_id % 5)::VARCHAR AS organization_id, conv_id::VARCHAR AS root_trace_id, lpad((conv_id * 100 + turn)::VARCHAR, 12, '0') AS trace_id,
     CASE WHEN role = 'system' THEN 'tool' ELSE 'llm' END AS type, CASE WHEN turn > 0 THEN lpad((conv_id * 100 + turn - 1)::VARCHAR, 12, '0') END AS parent_id,
-    text AS output, NULL AS doc, NULL AS input, role AS name
+    text AS output, NULL::VARCHAR AS doc, NULL::VARCHAR AS input, role AS name
   FROM conversations
   UNION ALL
   SELECT (user_id % 100 % 5)::VARCHAR, (user_id % 100)::VARCHAR, lpad((1000000000 + event_id)::VARCHAR, 12, '0'),
@@ -129,8 +129,8 @@ TRACES_SQL = """traces AS (
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored scores of most turns."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("(conv_id + turn) % 7 <> 3")
+    """Stored scores of all turns."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     score = ((F.col("conv_id") * 7 + F.col("turn") * F.col("turn") * 13 + F.col("turn") * 31) % 101 / F.lit(100.0)).cast("double")
     return c.select(
         (F.col("conv_id") % 5).cast("string").alias("organization_id"),
@@ -144,5 +144,5 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCANS_SQL = """scans AS (
   SELECT (conv_id % 5)::VARCHAR AS organization_id, conv_id::VARCHAR AS root_trace_id, lpad((conv_id * 100 + turn)::VARCHAR, 12, '0') AS trace_id,
     ((conv_id * 7 + turn * turn * 13 + turn * 31) % 101)::DOUBLE / 100.0 AS security_risk_score, conv_id * 100 + turn AS ingested_at
-  FROM conversations WHERE (conv_id + turn) % 7 <> 3
+  FROM conversations
 )"""

@@ -22,7 +22,7 @@ class Models:
     """Factories of models; None means that there is none.
 
     ``injection``, ``jailbreak`` and ``blended`` score how close a text is to attacks of that kind, the last one for
-    tool outputs and documents; ``classifier`` scores windows of the prompt.
+    tool outputs and documents; ``classifier`` scores windows of the prompt; ``ocr`` reads images.
     """
 
     injection: providers.ScoreProvider | None = None
@@ -30,6 +30,8 @@ class Models:
     blended: providers.ScoreProvider | None = None
     classifier: providers.ScoreProvider | None = None
     ocr: providers.OcrProvider | None = None
+    fetcher: providers.Fetcher | None = None  # gets images that stand at public URLs; without it none are fetched
+    entities: providers.EntityProvider | None = None  # names and places, for prompt, response and tool inputs
 
 
 NO_MODELS = Models()
@@ -55,15 +57,18 @@ def texts(jobs: DataFrame) -> DataFrame:
 
 
 def with_tree(x: DataFrame, trace_table: DataFrame, scans: DataFrame) -> DataFrame:
-    """``x`` with sibling texts, cross_agent, chain and history."""
-    ids = x.select(*KEY, "trace_id", "parent_id").distinct()
-    siblings = traces.sibling_sources(ids, trace_table)
-    parents = traces.parent_kinds(ids, trace_table).select(*KEY, "trace_id", "parent_id", "cross_agent")
-    chain = traces.chain_scores(ids, trace_table, scans)
-    history = traces.session_history(ids.select(*KEY, "trace_id").distinct(), scans)
-    on = [*KEY, "trace_id"]
-    out = x.join(siblings.dropDuplicates(on), on, "left").join(parents.drop("parent_id").dropDuplicates(on), on, "left")
-    return out.join(chain.dropDuplicates(on), on, "left").join(history, on, "left")
+    """``x`` with sibling texts, cross_agent, chain and history.
+
+    A tree's siblings and scans are one row, which its traces are joined with once; only the walk along the ancestors
+    has joins of its own, of ids alone.
+    """
+    none = F.expr("cast(array() as array<double>)")
+    tree = traces.gathered_siblings(trace_table).join(traces.gathered_history(scans), KEY, "full")
+    chain = traces.chain_scores(x.select(*KEY, "trace_id", "parent_id").distinct(), trace_table, scans)
+    chain = chain.groupBy(*KEY, "trace_id").agg(F.max("chain").alias("chain"))  # a repeated job may name another parent
+    x = traces.parent_kinds(x, trace_table).drop("parent_kind").join(tree, KEY, "left")
+    x = x.withColumns({**traces.sibling_columns(F.col("siblings"), F.col("trace_id")), "history": traces.history_column(F.col("recent"), F.col("trace_id"))}).drop("siblings", "recent")
+    return x.join(chain, [*KEY, "trace_id"], "left").withColumn("chain", F.coalesce("chain", none))
 
 
 def trajectories(x: DataFrame) -> DataFrame:
@@ -92,7 +97,15 @@ def post_call(jobs: DataFrame, trace_table: DataFrame, scans: DataFrame, models:
     ``jobs``: event (VARIANT), organization_id, trace_id and, where present, api_key_prefix, response_gated,
     pii_ignore, allowed_tools, mode, retention_days.
     """
-    x = with_tree(texts(jobs), trace_table, scans)
+    return scan_texts(texts(jobs), trace_table, scans, models, config)
+
+
+def scan_texts(x: DataFrame, trace_table: DataFrame, scans: DataFrame, models: Models = NO_MODELS, config: ScanConfig = DEFAULT) -> DataFrame:
+    """``post_call`` from what ``texts`` gives, for callers that hold on to that."""
+    x = with_tree(x, trace_table, scans)
+    if models.entities:
+        x = x.withColumns({f"{c}_entities": providers.entity_spans(cap(F.col(c)), models.entities) for c in ("prompt", "response")})
+        x = x.withColumn("tool_entities", providers.array_entity_spans(F.transform("tool_inputs", lambda t: cap(t)), models.entities))
     if models.injection or models.jailbreak:
         x = x.withColumn("plain", normalize_text(cap(F.col("prompt"))))
         x = x.withColumns({"injection_score": providers.scores(F.col("plain"), models.injection), "jailbreak_score": providers.scores(F.col("plain"), models.jailbreak)}).drop("plain")
@@ -105,7 +118,7 @@ def post_call(jobs: DataFrame, trace_table: DataFrame, scans: DataFrame, models:
         x = x.withColumns({"tool_folded": folded["tool_outputs"], "doc_folded": folded["context_docs"]}).drop("tool_outputs_plain", "context_docs_plain")
         x = x.withColumns({"tool_scores": providers.array_scores(F.col("tool_folded"), models.blended), "doc_scores": providers.array_scores(F.col("doc_folded"), models.blended)}).drop("tool_folded", "doc_folded")
     x = x.withColumns({
-        "image_texts": events.labelled_texts(providers.ocr_texts(events.inline_bytes(F.col("images")), models.ocr)),
+        "image_texts": events.labelled_texts(providers.ocr_texts(events.inline_bytes(F.col("images")), models.ocr, events.public_urls(F.col("images")), models.fetcher)),
     })
     carried = x.withColumn("was_cross", F.col("cross_agent"))
     done = scan(carried.drop("event", "images"), config).withColumnRenamed("was_cross", "cross_agent")
