@@ -39,7 +39,7 @@ DIM = 16
 #: The training sample: about so many documents in all and of one language, at most twice as many in all.
 SAMPLE, SAMPLE_LANG = 6000, 1500
 #: The n-grams of a document that are learnt from: so many are drawn from a longer text.
-DRAWN = 4096
+DRAWN = 2048
 RESULTS = ("lang_pred", "score", "rejected")
 UNDETERMINED = "und"
 #: The share of right predictions on calibration texts that may be rejected, and the highest threshold.
@@ -132,6 +132,7 @@ def sample(docs: DataFrame) -> DataFrame:
                 bags = [x.tobytes() for x in _bags(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("nr"), part.column("lang"), pa.array(bags, pa.binary())], ["nr", "lang", "bag"])
+        give_back()
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()}
