@@ -175,7 +175,7 @@ class Codec:
     def checked(self, texts: Sequence[str]) -> tuple[list[list[int]], list[bool]]:
         """The ids of whole texts, and whether the sentencepiece library gives the same."""
         ids = self.encode(texts)
-        return ids, [x == y for x, y in zip(ids, self.exact.encode(list(texts), num_threads=self.threads), strict=True)]
+        return ids, [x == y for x, y in zip(ids, self.exact.encode(list(texts), num_threads=1), strict=True)]
 
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         texts = [self.fast.decode(x, skip_special_tokens=False) for x in ids]
