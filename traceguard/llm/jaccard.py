@@ -41,7 +41,7 @@ SKETCH_WORDS = 64
 LOSS = 1e-10
 #: Buckets of up to FEW members are expanded by a join; larger ones are compared in chunks of about CHUNK members,
 #: after TURNS of their members have been paired with all others.
-FEW, CHUNK, TURNS = 8, 1000, 1
+FEW, CHUNK, TURNS = 8, 500, 1
 #: Bits of the bitmap of wanted rows for each of them, and of the whole as a power of two: 32 MB.
 BITMAP_BITS, MOST_LOG2 = 16, 28
 
