@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceguard.functions import patterns, pii, risk, secrets, vectors
+from traceguard.functions import variants as V
 from traceguard.functions.text import PLAIN, cap, fold, normalize_text
 
 NONE = "cast(array() as array<string>)"
@@ -97,9 +98,11 @@ def exfiltration(inputs: Column, plain: Column, ignore: Column, more: Column | N
     ``more``: spans of names and places of each input.
     """
     # Lambdas are interpreted, without common subexpressions: what is used twice is put into a struct first.
+    nothing = F.struct(F.expr(NONE).alias("types"), F.lit(False).alias("random"))  # a text that is its own normal form hides nothing
+
     def read(t, i):
         named = None if more is None else F.coalesce(F.get(more, i), F.expr(f"cast(array() as {pii.SPAN})"))
-        return F.struct(pii.entities(pii.pii_spans(t, ignore, more=named)).alias("types"), secrets.parts(t).alias("raw"), secrets.parts(fold(F.get(plain, i))).alias("hidden"))
+        return F.struct(pii.entities(pii.pii_spans(t, ignore, more=named)).alias("types"), secrets.parts(t).alias("raw"), V.let(fold(F.get(plain, i)), lambda p: F.when(p == t, nothing).otherwise(secrets.parts(p))).alias("hidden"))
 
     def one(x, i):
         types = F.array_union(F.array_union(x["types"], x["raw"]["types"]), x["hidden"]["types"])
