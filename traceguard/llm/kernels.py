@@ -37,6 +37,23 @@ def give_back() -> None:
         pass
 
 
+def own_thread() -> None:
+    """Let matrix products of this worker run on the task's own thread: the tasks already keep all cores busy.
+
+    The library that numpy multiplies with starts a thread for each core, and these wait for each other.
+    """
+    try:
+        with open("/proc/self/maps") as f:
+            libraries = {line.split()[-1] for line in f if "openblas" in line}
+        for library in libraries:
+            loaded = ctypes.CDLL(library)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(loaded, name):
+                    getattr(loaded, name)(1)
+    except OSError:  # another system, or numpy with another library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

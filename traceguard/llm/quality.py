@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import carried, held_out, released, table
-from .kernels import Words, give_back, groups, mix, strings
+from .kernels import Words, give_back, groups, mix, own_thread, strings
 
 #: Labelled documents that are broadcast: about so many, at most twice as many.
 SAMPLE = 4096
@@ -185,6 +185,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     kept, packed, own = carried(docs, keep, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_thread()
         m = sent.value
         for batch in batches:
             data, offsets = strings(batch.column("text"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import own_thread
+
 #: Bytes of a query block, which a task holds, and of a shard, which streams through it.
 QUERY_BYTES, SHARD_BYTES = 32 << 20, 256 << 20
 #: A tile has at most so many queries, rows of a shard, and numbers in either side.
@@ -106,6 +108,7 @@ def _cells(k: int, tile: Callable, prepare: Callable, dtype):
     """Multiply the cells of a partition, which come one after another, each with its queries first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_thread()
         now, asked, block = None, [], None
         for batch in batches:
             if not batch.num_rows:
