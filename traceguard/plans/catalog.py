@@ -320,7 +320,7 @@ def tool_exfil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("conv_id", joined("sources"), joined("types"))
 
 
-@query("""WITH n AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE ' ' || event_type END AS name FROM events WHERE event_id % 5 < 3),
+@query("""WITH n AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE ' ' || event_type END AS name FROM events),
 k AS (SELECT *, lower(trim(name)) AS key, row_number() OVER (PARTITION BY user_id, lower(trim(name)) ORDER BY event_id) AS nth FROM n)
 SELECT user_id, string_agg(name, '|' ORDER BY event_id) AS violations FROM k WHERE nth = 1 AND key NOT IN ('click', 'view') AND user_id % 3 > 0 GROUP BY user_id""")
 def tool_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
