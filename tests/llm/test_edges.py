@@ -452,6 +452,53 @@ def test_language_model_trains_alike_at_any_size(spark, monkeypatch):
         assert np.allclose(learned[0][k], learned[2][k], atol=1e-6) and np.allclose(learned[1][k], learned[2][k], atol=1e-6)
 
 
+def test_language_model_steps_take_each_noise_sample_once(monkeypatch):
+    from traceguard.llm import lm
+
+    rng = np.random.default_rng(11)
+    size, n, batch, negatives, rate = 40, 700, 512, 256, 0.08
+    noise = 1 / (1 + np.arange(size)) ** 1.5
+    noise /= noise.sum()
+    out, one, two = rng.choice(size, n, p=noise), rng.integers(0, size + 1, n), rng.integers(0, size + 1, n)
+    got, plain = lm.Network(noise), lm.Network(noise)
+    shapes, tanh = [], np.tanh
+    monkeypatch.setattr(lm.np, "tanh", lambda x, *a, **k: shapes.append(x.shape) or tanh(x, *a, **k))
+    got.train(one, two, out, np.random.default_rng(2), batch, negatives, rate)
+    monkeypatch.undo()
+    assert {s[0] for s in shapes} == {512, 188} and max(s[1] for s in shapes if len(s) == 2) <= size
+
+    # The same steps with every sample for itself and sums row by row.
+    p, q = ({k: v.astype(float) for k, v in x.items()} for x in (plain.params, plain.squares))
+    seen = {k: np.zeros(len(v)) for k, v in p.items()}
+    draw = np.random.default_rng(2)
+    order = draw.permutation(n)
+    cumulative = np.cumsum(noise)
+    for i in range(0, n, batch):
+        at = order[i : i + batch]
+        fake = np.minimum(np.searchsorted(cumulative, draw.random(negatives) * cumulative[-1]), size - 1)
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        touched = {"target": {*out[at], *fake}, "source": {*one[at], *two[at]}, "turn": {*range(2 * lm.DIM)}}
+        for c1, c2, w in zip(one[at], two[at], out[at], strict=True):
+            x = np.concatenate([p["source"][c1], p["source"][c2]])
+            guess = np.append(x @ p["turn"], 1)
+            rows = np.append(fake, w)
+            d = 1 / (1 + np.exp(np.log(noise[rows] * negatives) - p["target"][rows] @ guess))
+            d[-1] -= 1
+            np.add.at(g["target"], rows, d[:, None] * guess)
+            back = d @ p["target"][rows, : lm.DIM]
+            g["turn"] += np.outer(x, back)
+            g["source"][c1] += p["turn"][: lm.DIM] @ back
+            g["source"][c2] += p["turn"][lm.DIM :] @ back
+        for k in p:
+            rows = sorted(touched[k])
+            q[k][rows] += g[k][rows] ** 2
+            p[k][rows] -= rate * g[k][rows] / np.sqrt(q[k][rows])
+            seen[k][rows] += 1
+    for k in p:
+        assert np.allclose(got.params[k], p[k], atol=1e-4) and np.allclose(got.squares[k], q[k], rtol=1e-3, atol=1e-4)
+        assert np.array_equal(got.seen[k], seen[k])
+
+
 def test_shortlist_grows_with_the_vocabulary():
     from traceguard.llm import lm
 

@@ -194,6 +194,28 @@ def _contexts(out: np.ndarray, first: np.ndarray, border: int) -> tuple[np.ndarr
     return one, two
 
 
+def distinct(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values of ``x`` (0 to size - 1) in order, how often each occurs, and the place of each element's value."""
+    n = np.bincount(x, minlength=size)
+    values = np.flatnonzero(n)
+    place = np.empty(size, np.int64)
+    place[values] = np.arange(len(values))
+    return values, n[values].astype(np.float32), place[x]
+
+
+def summed(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``rows`` (less than 32768) and the sums of their gradients, which are repeated if fewer than rows.
+
+    The number of columns is even: two of them are added at a time, as one complex number.
+    """
+    order = np.argsort(rows.astype(np.int16), kind="stable")
+    rows = rows[order]
+    start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    if len(grad) < len(rows):
+        order %= len(grad)
+    return rows[start], np.add.reduceat(grad[order].view(np.complex64), start, axis=0).view(np.float32)
+
+
 class Network:
     """The parameters, their sums of squared gradients (AdaGrad), and how many steps touched each row.
 
@@ -214,12 +236,6 @@ class Network:
         self.squares = {k: np.full(v.shape, 1e-4, np.float32) for k, v in self.params.items()}
         self.seen = {k: np.zeros(len(v), np.float32) for k, v in self.params.items()}
 
-    def _step(self, name: str, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        self._move(name, rows[start], np.add.reduceat(grad[order], start, axis=0), rate)
-
     def _move(self, name: str, rows: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
         squares = self.squares[name][rows] + g * g
         self.squares[name][rows] = squares
@@ -229,7 +245,11 @@ class Network:
         self.seen[name][rows] += 1
 
     def train(self, one: np.ndarray, two: np.ndarray, out: np.ndarray, rng: np.random.Generator, batch: int = 512, negatives: int = 256, rate: float = 0.08) -> None:
-        """One pass of noise-contrastive estimation. The noise samples of a batch are shared by its tokens."""
+        """One pass of noise-contrastive estimation. The noise samples of a batch are shared by its tokens.
+
+        A batch's products are taken once for each different context and each different noise sample, which counts as
+        often as it was drawn.
+        """
         source, target, turn = (self.params[k] for k in self.NAMES)
         cumulative = np.cumsum(self.noise)
         # Each token has `negatives` noise samples; weights keep the two sides' sums alike.
@@ -237,23 +257,35 @@ class Network:
         order = rng.permutation(len(out))
         for i in range(0, len(order), batch):
             at = order[i : i + batch]
-            c, w = np.concatenate([one[at], two[at]]), out[at]
-            fake = np.minimum(np.searchsorted(cumulative, rng.random(negatives) * cumulative[-1]), len(self.noise) - 1)
-            x = np.concatenate([source[c[: len(at)]], source[c[len(at) :]]], 1)
-            guess = np.concatenate([x @ turn, np.ones((len(at), 1), np.float32)], 1)
+            w, n = out[at], len(at)
+            drawn = np.minimum(np.searchsorted(cumulative, rng.random(negatives) * cumulative[-1]), len(self.noise) - 1)
+            fake, half = distinct(drawn, len(self.noise))[:2]
+            half = half[:, None] * np.float32(0.5)
+            context, _, place = distinct(np.concatenate([one[at], two[at]]), len(source))
+            x = source[context]
+            # The guess, 1 for the bias, and a 0 for an even number of columns.
+            guess = np.zeros((n, DIM + 2), np.float32)
+            np.add((x @ turn[:DIM])[place[:n]], (x @ turn[DIM:])[place[n:]], out=guess[:, :DIM])
+            guess[:, DIM] = 1
             t_true, t_false = target[w], target[fake]
             t_true[:, DIM] -= odds[w]
             t_false[:, DIM] -= odds[fake]
-            # 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2.
-            d_true = np.tanh((guess * t_true).sum(1) * np.float32(0.5)) * np.float32(0.5) - np.float32(0.5)
-            d_false = (guess * np.float32(0.5)) @ t_false.T
+            # 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2; the division and the number of draws are left to the smaller factors.
+            d_true = np.tanh(np.einsum("ij,ij->i", guess[:, : DIM + 1], t_true) * np.float32(0.5)) * np.float32(0.5) - np.float32(0.5)
+            d_false = guess[:, : DIM + 1] @ (t_false * np.float32(0.5)).T
             np.tanh(d_false, out=d_false)
             d_false += 1
-            d_false *= np.float32(0.5)
-            d_guess = (d_true[:, None] * t_true + d_false @ t_false)[:, :DIM]
-            g, g_turn = d_guess @ turn.T, x.T @ d_guess
-            self._step("target", np.concatenate([w, fake]), np.concatenate([d_true[:, None] * guess, d_false.T @ guess]), rate)
-            self._step("source", c, np.concatenate([g[:, :DIM], g[:, DIM:]]), rate)
+            d_guess = d_false @ (t_false[:, :DIM] * half)
+            d_guess += d_true[:, None] * t_true[:, :DIM]
+            rows, g = summed(np.concatenate([w, fake]), np.concatenate([d_true[:, None] * guess, d_false.T @ guess * half]))
+            self._move("target", rows, g[:, : DIM + 1], rate)
+            # Sums over the tokens with a context one back and two back; the others have none.
+            rows, g = summed(np.concatenate([place[:n], place[n:] + len(context)]), d_guess)
+            d = np.zeros((2 * len(context), DIM), np.float32)
+            d[rows] = g
+            near, far = d[: len(context)], d[len(context) :]
+            g, g_turn = near @ turn[:DIM].T + far @ turn[DIM:].T, np.concatenate([x.T @ near, x.T @ far])
+            self._move("source", context, g, rate)
             self._move("turn", slice(None), g_turn, rate)
 
     def sums(self) -> np.ndarray:
