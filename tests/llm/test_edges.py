@@ -36,6 +36,65 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_language_memory_and_batches():
+    """Megabytes of texts in a batch take little memory at once, and leave in small batches; results are those of text by text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from traceguard.llm import langid
+
+    rng = np.random.default_rng(0)
+    table = rng.standard_normal(((1 << langid.BUCKETS_LOG2) + 1, 8)).astype(np.float32)
+    table[-1] = 0
+    model = langid.Model(list("abcdefgh"), table, np.zeros(8), threshold=0.2)
+    texts = pa.array([None, "", "!!", *(f"{i} " + "the house of the river " * 90 for i in range(1000))])
+    own = pa.StructArray.from_arrays([texts, pa.array(range(len(texts)))], ["text", "doc_id"])
+    tracemalloc.start()
+    inside = list(langid._predicted(model, [pa.record_batch([own], ["own"])], True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and max(x.num_rows for x in inside) < 200
+    beside = list(langid._predicted(model, [pa.record_batch([own, texts], ["own", "text"])], False))
+    assert pa.Table.from_batches(inside).equals(pa.Table.from_batches(beside))
+    rows = pa.Table.from_batches(inside).to_pylist()
+    assert [r["own"]["doc_id"] for r in rows] == list(range(1003)) and [r["lang_pred"] for r in rows[:3]] == ["und"] * 3
+    for r in rows[3::100]:
+        data = np.frombuffer(r["own"]["text"].encode(), np.uint8)
+        p = model.probabilities(data, np.array([0, len(data)]))[0]
+        assert (r["lang_pred"], r["score"], r["rejected"]) == ("abcdefgh"[p.argmax()], p.max(), p.max() < 0.2)
+
+
+def test_language_sends_a_kept_text_once(spark):
+    from traceguard.llm import langid
+
+    docs = documents(spark, odd_rows())
+    model = langid.fit(docs)
+    once, beside = (langid.predict(docs, model, keep) for keep in (("doc_id", "text"), ("doc_id",)))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    sent = [line for line in plan(once).splitlines() if "Project" in line][1]
+    assert sent.split("Project ")[1].startswith("[own#") and "text" not in sent
+    assert sorted(map(str, once.drop("text").collect())) == sorted(map(str, beside.collect()))
+
+
+def test_a_worker_lets_go_of_the_codec():
+    import gc
+    import weakref
+
+    from traceguard.llm import kernels
+    from traceguard.llm import sentencepiece_codec as codec
+
+    with open(codec.MODEL_PATH, "rb") as f:
+        data = f.read()
+    first = codec._codec(data, 1)
+    assert codec._codec(data, 1) is first
+    gone = weakref.ref(first)
+    del first
+    kernels.let_go()
+    gc.collect()
+    assert gone() is None
+
+
 def test_language_held_out_accuracy(spark):
     from traceguard.llm import langid
 

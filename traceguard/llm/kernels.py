@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,25 @@ def give_back() -> None:
         pass
 
 
+#: What an operator holds in a Python worker from one task to the next.
+_held: dict[object, object] = {}
+
+
+def hold(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once for the tasks of a worker; one such thing is held at a time."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Free what another operator holds: the worker that its tasks ran in now serves this one."""
+    if _held:
+        _held.clear()
+        give_back()
+
+
 def own_thread() -> None:
     """Let matrix products of this worker run on the task's own thread: the tasks already keep all cores busy.
 

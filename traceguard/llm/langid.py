@@ -19,7 +19,7 @@ result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import carried, held_out, released, table
-from .kernels import give_back, groups, strings
+from .kernels import give_back, groups, let_go, strings
 
 BUCKETS_LOG2 = 16
 ORDERS = (2, 3, 4)
@@ -40,6 +40,8 @@ DIM = 16
 SAMPLE, SAMPLE_LANG = 6000, 1500
 #: The n-grams of a document that are learnt from: so many are drawn from a longer text.
 DRAWN = 2048
+#: Texts are worked on in groups of so many bytes, each of which takes some hundred bytes of memory for a while.
+GROUP_BYTES = 1 << 17
 RESULTS = ("lang_pred", "score", "rejected")
 UNDETERMINED = "und"
 #: The share of right predictions on calibration texts that may be rejected, and the highest threshold.
@@ -126,9 +128,10 @@ def sample(docs: DataFrame) -> DataFrame:
     """A bounded sample of (nr, lang, bag): about the same number of each language, chosen by ``nr``, a hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             data, offsets = strings(batch.column("text"))
-            for a, b in groups(offsets):
+            for a, b in groups(offsets, GROUP_BYTES):
                 bags = [x.tobytes() for x in _bags(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("nr"), part.column("lang"), pa.array(bags, pa.binary())], ["nr", "lang", "bag"])
@@ -219,27 +222,32 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """``keep`` columns of ``docs`` (but none named like a result) with lang_pred, score and rejected."""
     kept, packed, own = carried(docs, keep, *RESULTS)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    inside = "text" in kept  # a kept text isn't sent a second time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        names = np.array([*m.langs, UNDETERMINED], dtype=object)
-        for batch in batches:
-            texts = batch.column("text")
-            data, offsets = strings(texts)
-            best, score = np.full(batch.num_rows, len(m.langs)), np.zeros(batch.num_rows)
-            for a, b in groups(offsets):
-                part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                letter = _has_letter(texts.slice(a, b - a), part, cuts)
-                if m.langs:
-                    p = m.probabilities(part, cuts)
-                    best[a:b] = np.where(letter, p.argmax(1), len(m.langs))
-                    score[a:b] = np.where(letter, p.max(1), 0)
-            rejected = (best == len(m.langs)) | (score < m.threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], ["own", *RESULTS])
+        let_go()
+        yield from _predicted(sent.value, batches, inside)
         give_back()
 
     schema = StructType([own, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
-    return released(packed.select("own", "text").mapInArrow(run, schema), kept, *RESULTS)
+    return released(packed.select("own", *(() if inside else ("text",))).mapInArrow(run, schema), kept, *RESULTS)
+
+
+def _predicted(m: Model, batches: Iterable[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
+    """A batch for each group of texts: own, lang_pred, score and rejected. ``inside``: the texts are a field of own."""
+    names = np.array([*m.langs, UNDETERMINED], dtype=object)
+    for batch in batches:
+        texts = batch.column("own").field("text") if inside else batch.column("text")
+        data, offsets = strings(texts)
+        for a, b in groups(offsets, GROUP_BYTES):
+            part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            best, score = np.full(b - a, len(m.langs)), np.zeros(b - a)
+            if m.langs:
+                letter = _has_letter(texts.slice(a, b - a), part, cuts)
+                p = m.probabilities(part, cuts)
+                best, score = np.where(letter, p.argmax(1), len(m.langs)), np.where(letter, p.max(1), 0)
+            rejected = (best == len(m.langs)) | (score < m.threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("own").slice(a, b - a), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], ["own", *RESULTS])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

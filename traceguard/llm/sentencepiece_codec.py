@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import carried, released, table
-from .kernels import give_back
+from .kernels import give_back, hold
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -189,16 +189,9 @@ class Codec:
         return self.exact.normalize(text).replace(MARK, " ").removeprefix(" " if self.model.dummy_prefix else "")
 
 
-_codecs: dict[tuple[int, int], Codec] = {}
-
-
 def _codec(data: bytes, threads: int) -> Codec:
     """One codec for each Python worker and model."""
-    key = (hash(data), threads)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(data, threads)
-    return _codecs[key]
+    return hold((Codec, hash(data), threads), lambda: Codec(data, threads))
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, int]]:
