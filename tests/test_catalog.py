@@ -51,3 +51,17 @@ def test_prompt_extract_keeps_the_tail_of_a_long_text(spark, tmp_path):
     spark.createDataFrame([(3, 1, "user", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     (row,) = catalog.QUERIES["prompt_extract"](spark, str(tmp_path)).collect()
     assert row.prompt == f"{text[:20]} {text[20:]}"
+
+
+@pytest.mark.parametrize("name", ["gate_replies", "response_gate_check"])
+def test_gates_read_a_long_response_to_its_end(spark, tmp_path, name):
+    import duckdb
+
+    path = f"{tmp_path}/documents.parquet"
+    duckdb.sql(f"COPY (SELECT 29 + k AS doc_id, repeat('many words ', 11000) AS text FROM range(29) t(k)) TO '{path}'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = con.execute(catalog.ORACLES[name])
+    names = [c[0] for c in want.description]
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
