@@ -53,3 +53,10 @@ def test_secrets(spark):
     assert {r.t: (r.s.types, r.s.level) for r in df.collect()} == texts
     split = spark.createDataFrame([("AKIA​ABCDEFGHIJKLMNOP",)], "t string")
     assert split.select(secrets.secrets(F.col("t"))["detected"].alias("a"), secrets.hidden_secrets(F.col("t"))["types"].alias("b")).first() == (False, ["aws_access_key"])
+
+
+def test_context_stands_up_to_40_characters_before(spark):
+    texts = {before + f"{word}{'-' * n}{end}123456789": found for before in ("", "é" * 90 + " ", "x\n" * 50, "ab ") for word, entity in (("social", "US_SSN"), ("travel document", "US_PASSPORT")) for n, end, found in ((39, " ", [entity]), (39, " \n", [entity]), (38, " \r\n", [entity]), (40, " ", []), (2, "\n\n ", []))}
+    texts |= {"antisocial 123456789": [], f"{'z' * 57}social 123456789": []}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("e", pii.entities(pii.pii_spans(F.col("t"))))
+    assert {r.t: r.e for r in df.collect()} == texts
