@@ -65,3 +65,13 @@ def test_gates_read_a_long_response_to_its_end(spark, tmp_path, name):
     names = [c[0] for c in want.description]
     got = catalog.QUERIES[name](spark, str(tmp_path))
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+
+
+def test_slow_columns_are_computed_once_and_after_the_deal(spark):
+    import re
+
+    for name, slow in (("secrets_normalized", r"\bArrowEvalPython\b"), ("secrets_named", r"sk-ant-\[a"), ("secrets_entropy", r"regexp_extract_all"), ("pii_custom_keys", r"sk-ant-\[a")):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        slow_at = [i for i, line in enumerate(plan) if re.search(slow, line)]
+        (dealt,) = (i for i, line in enumerate(plan) if "Repartition" in line)
+        assert len(slow_at) == 1 and slow_at[0] < dealt, name
