@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,15 @@ def test_a_scan_reads_every_text_to_its_end(spark):
     r = S.scan(spark.createDataFrame([row], "prompt string, response string, tool_outputs array<string>, context_docs array<string>, tool_inputs array<string>")).first()
     assert r.jailbreak_detected and r.secret_types == ["aws_access_key"] and r.pii_entities_response == ["EMAIL_ADDRESS"] and r.response_redacted == long + "<EMAIL_ADDRESS>"
     assert r.indirect_injection_sources == ["tool_output[0]", "context_doc[0]"] and r.tool_exfiltration_types == ["US_SSN"]
+
+
+def test_only_the_siblings_that_are_kept_are_parsed(spark):
+    from traceguard.operators import traces as T
+
+    rows = [("o", f"r{i % 2}", f"t{i:04}", "tool", None, json.dumps({"name": f"n{i}", "output": f"out {i}"})) for i in range(300)]
+    few = T.gathered_siblings(spark.createDataFrame(rows, "organization_id string, root_trace_id string, trace_id string, type string, parent_id string, event string"))
+    plan = few._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    parsed, ranked = ([i for i, line in enumerate(plan) if re.search(rx, line)] for rx in ("(?i)parse_?json", r"Window \["))
+    assert parsed and max(parsed) < min(ranked)
+    got = {r.root_trace_id: [(s.trace_id, s.tool_output, s.tool_name) for s in r.siblings] for r in few.collect()}
+    assert got == {f"r{k}": [(f"t{i:04}", f"out {i}", f"n{i}") for i in range(k, 102, 2)] for k in range(2)}

@@ -84,3 +84,11 @@ def test_flat_and_single_answers_agree(spark, strong):
         one = patterns.strong_hit if strong else patterns.any_hit
         other = patterns.flat(F.col("t"), f)["detected"] if strong else patterns.tiered(F.col("t"), f)["detected"]
         assert df.where(one(F.col("t"), f) != other).count() == 0
+
+
+def test_the_first_expression_lets_every_phrase_through(spark):
+    """At the start, after what is no word, in capitals, and with letters that fold to ASCII."""
+    cases = [(f.name, before + form(p)) for f in patterns.FAMILIES for p in (*f.strong, *f.weak) for before in ("", "é, ", "a ", "1.", "á ", "x(") for form in (str, str.upper, lambda p: p.replace("s", "ſ").replace("k", "K"))]
+    df = spark.createDataFrame(cases, "name string, t string")
+    for f in patterns.FAMILIES:
+        assert df.where((F.col("name") == f.name) & ~f.may_match(F.col("t"))).collect() == []
